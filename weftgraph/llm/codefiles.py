@@ -28,6 +28,7 @@ class Thresholds:
     numeric: float = 0.33  # share of the visible characters in numeric literals
     encoded: float = 0.35  # share of all characters in long encoded runs
     alphanumeric: float = 0.97  # share of the visible characters
+    prose: float = 0.1  # long lines with fewer signs than this are prose, not code
 
 
 #: By file ending; SQL and Go have longer statements on a line, style sheets many numbers.
@@ -57,7 +58,10 @@ GENERATED_PATHS = r"(?:^|/)(?:generated|__generated__|autogen|gen)/|[._-](?:gen|
 VENDORED_PATHS = r"(?:^|/)(?:node_modules|bower_components|vendor|_vendor|vendored|third_party|third-party|thirdparty|deps|site-packages|external/[^/]+)/"
 MINIFIED_PATHS = r"[.-]min\.(?:js|css|mjs)$|(?:^|/)(?:bundle|chunk)[.-][0-9a-f]+\.(?:js|css)$"
 
-_COUNTS = ("chars", "lines", "blank", "alnum", "numeric", "encoded")
+#: From this length on a line's signs are counted, to tell packed code from prose.
+LONG_LINE = 250
+
+_COUNTS = ("chars", "lines", "blank", "alnum", "numeric", "encoded", "long_chars", "long_signs")
 
 
 def clean_path(path: Column) -> Column:
@@ -73,7 +77,9 @@ def _says(text: Column, marks: str) -> Column:
 
 def _statistics(text: Column) -> list[Column]:
     without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
-    lengths = F.transform(F.split(text, r"\r\n|\r|\n"), lambda x: F.length(x))
+    rows = F.split(text, r"\r\n|\r|\n")
+    lengths = F.transform(rows, lambda x: F.length(x))
+    long = F.array_join(F.filter(rows, lambda x: F.length(x) >= LONG_LINE), "")
     return [
         F.length(text).cast("long").alias("chars"),
         F.size(F.filter(lengths, lambda n: n > 0)).cast("long").alias("lines"),
@@ -81,6 +87,8 @@ def _statistics(text: Column) -> list[Column]:
         without(r"[A-Za-z0-9]").cast("long").alias("alnum"),
         without(r"(?<!\w)(?:0[xX][0-9a-fA-F]+|\d[\d_]*(?:\.\d+)?(?:[eE][-+]?\d+)?)(?!\w)").cast("long").alias("numeric"),
         without(r"[A-Za-z0-9+/=]{64,}|(?:\\x[0-9A-Fa-f]{2}){8,}|(?:\\u[0-9A-Fa-f]{4}){8,}").cast("long").alias("encoded"),
+        F.length(long).cast("long").alias("long_chars"),
+        (F.length(long) - F.length(F.regexp_replace(long, r"[^\w\s]", ""))).cast("long").alias("long_signs"),
         F.coalesce(F.array_max(lengths), F.lit(0)).cast("long").alias("max_line"),
         _says(text, GENERATED).alias("says_generated"),
         _says(text, VENDORED).alias("says_vendored"),
@@ -117,7 +125,7 @@ def code_files(sources: DataFrame, spans: DataFrame) -> DataFrame:
 
     f = files.join(total, ["project", "key"], "left").withColumn("language", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
     path, visible = F.lower("path"), F.col("chars") - F.col("blank")
-    long_line = F.col("max_line") >= _by_language("max_line")
+    long_line = (F.col("max_line") >= _by_language("max_line")) & (F.col("long_signs") / F.col("long_chars") >= _by_language("prose"))
     dense = long_line & ((F.col("chars") / F.col("lines") >= _by_language("mean_line")) | (F.col("blank") / F.col("chars") <= _by_language("whitespace")))
     data = (F.col("encoded") / F.col("chars") >= _by_language("encoded")) | (F.col("numeric") / visible >= _by_language("numeric"))
     data = data | (F.col("alnum") / visible >= _by_language("alphanumeric")) | (dense & F.col("language").isin("py", "go", "sql"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftgraph.llm.codefiles import code_files, pointing_entities
 from weftgraph.llm.cutting import cut_items
 from weftgraph.llm.grouping import consolidate
 from weftgraph.llm.tokens import encode_documents
@@ -29,11 +30,22 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_pieces(spark, d).where("ordinal = 1 and record_id is not null").select("table_name", "record_id").distinct()
 
 
+def p5_files(spark: SparkSession, d: str) -> DataFrame:
+    return code_files(table(spark, d, "sources"), table(spark, d, "source_spans"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    files = p5_files(spark, d)
+    entities = pointing_entities(table(spark, d, "entities"), files)
+    both = files.select(F.lit("sources").alias("table_name"), F.col("id").alias("record_id")).unionByName(entities.select(F.lit("entities").alias("table_name"), F.col("id").alias("record_id")))
+    return both.distinct()
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p7_ids": p7_ids}
+QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_files": p5_files, "p7_ids": p7_ids}
 
 SQL: dict[str, str] = {
     "p3_found": """
