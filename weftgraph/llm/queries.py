@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from weftgraph.llm.codefiles import code_files, pointing_entities
 from weftgraph.llm.cutting import cut_items
 from weftgraph.llm.grouping import consolidate
+from weftgraph.llm.leaks import find_leaks
 from weftgraph.llm.tokens import encode_documents
 from weftgraph.runtime import table
 
@@ -45,7 +46,25 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_documents(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {"p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces, "p5_found": p5_found, "p5_files": p5_files, "p7_ids": p7_ids}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return find_leaks(table(spark, d, "documents"), table(spark, d, "golden_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p8_items(spark: SparkSession, d: str) -> DataFrame:
+    leaks = _leaks(spark, d).groupBy("item_id").agg(F.countDistinct("doc_id").alias("documents"), F.max("words").alias("longest_words"))
+    return table(spark, d, "golden_items").select("item_id").join(leaks, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "longest_words")
+
+
+QUERIES: dict[str, Query] = {
+    "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces,
+    "p5_found": p5_found, "p5_files": p5_files,
+    "p7_ids": p7_ids,
+    "p8_found": p8_found, "p8_items": p8_items,
+}
 
 SQL: dict[str, str] = {
     "p3_found": """
