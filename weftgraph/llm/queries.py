@@ -11,12 +11,21 @@ from weftgraph.llm.codefiles import code_files, pointing_entities
 from weftgraph.llm.cutting import cut_items
 from weftgraph.llm.grouping import consolidate
 from weftgraph.llm.leaks import find_leaks
+from weftgraph.llm.matching import match_entities
 from weftgraph.llm.tokens import encode_documents
 from weftgraph.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    return match_entities(table(spark, d, "entities"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return p2_matches(spark, d).select("id_a", "id_b")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return consolidate(table(spark, d, "resolution_results"))
 
@@ -60,6 +69,7 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "p2_found": p2_found, "p2_matches": p2_matches,
     "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces,
     "p5_found": p5_found, "p5_files": p5_files,
     "p7_ids": p7_ids,
