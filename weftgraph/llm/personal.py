@@ -33,23 +33,24 @@ _A = _U + _L
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*(?: ?@ ?|\(at\)|\[at\]| \[at\] | \(at\) )[A-Za-z0-9-]+(?:(?:\.| \[dot\] | \(dot\) |\[dot\])[A-Za-z0-9-]+)*")
 _NUMBER = re.compile(
     r"(?<![A-Za-z0-9.,:/_#$€£-])(?:\+ ?|\()?\d(?:(?:\)[\s\u00a0]?|[ \u00a0]\(|[ \u00a0.\-/])?\d){5,18}(?:-?[A-Z](?![A-Za-z0-9]))?(?![A-Za-z0-9_]|[.:,\-/]\d)"
-    r"|(?<![A-Za-z0-9_-])[A-Z]{1,3}(?:[ -]?\d{2,8}){1,4}(?:[ -]?[A-Z])?(?![A-Za-z0-9_]|-\d)"
+    r"|(?<![A-Za-z0-9_-])[A-Z]{1,3}(?:[ -]?\d{1,8}){1,5}(?:[ -]?[A-Z])?(?![A-Za-z0-9_]|[- ]\d)"
 )
 _TOWN = rf"[{_A}][{_A}'-]+(?: [{_U}][{_A}'-]+){{0,2}}"
 _UNIT = r"(?:(?:Flat|Apt|Apartment|Suite|Unit|Room) \d+[A-Za-z]?|\d+º ?[A-Z]?)"
-_TAIL = rf"(?:,\s{_UNIT})?,\s(?:\d{{4,5}}\s)?{_TOWN}(?:\s[A-Z]{{1,2}}\d{{1,2}}[A-Z]?\s\d[A-Z]{{2}}|,?\s\d{{4,5}})?(?![A-Za-z0-9])"
-_WORDS = rf"[{_A}][{_A}'-]*(?:\s[{_U}][{_A}'-]*){{0,2}}"
+_TAIL = rf"(?:,[  ]{_UNIT})?,[  ](?:\d{{4,5}}[  ])?{_TOWN}(?:[  ][A-Z]{{1,2}}\d{{1,2}}[A-Z]?[  ]\d[A-Z]{{2}}|,?[  ]\d{{4,5}})?(?![A-Za-z0-9])"
+_WORDS = rf"[{_A}][{_A}'-]*(?:[  ][{_U}][{_A}'-]*){{0,2}}"
 _ADDRESS = [
-    re.compile(rf"(?<![A-Za-z0-9])(?:{_UNIT},\s)?\d+[a-z]?,?\s{_WORDS}\s(?:{'|'.join(ROADS['after'])})(?![{_A}])\.?(?:{_TAIL})?"),
-    re.compile(rf"(?<![A-Za-z0-9])\d+[a-z]?(?:\sbis|\ster)?,?\s(?:{'|'.join(ROADS['before_fr'])})\s(?:de\s(?:la\s)?|du\s|des\s)?{_WORDS}(?:{_TAIL})?"),
-    re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(ROADS['before_number'])})\s(?:de\s(?:la\s)?)?{_WORDS}\s\d+[a-z]?(?:{_TAIL})?"),
-    re.compile(rf"(?<![{_A}0-9])(?:[{_A}-]+(?:{'|'.join(ROADS['joined'])})|[{_A}-]+\s(?:{'|'.join(ROADS['apart'])}))\s\d+\s?[a-z]?(?:{_TAIL})?"),
+    re.compile(rf"(?<![A-Za-z0-9])(?:{_UNIT},[  ])?\d+[a-z]?,?[  ]{_WORDS}[  ](?:{'|'.join(ROADS['after'])})(?![{_A}])\.?(?:{_TAIL})?"),
+    re.compile(rf"(?<![A-Za-z0-9])\d+[a-z]?(?:[  ]bis|[  ]ter)?,?[  ](?:{'|'.join(ROADS['before_fr'])})[  ](?:de[  ](?:la[  ])?|du[  ]|des[  ])?{_WORDS}(?:{_TAIL})?"),
+    re.compile(rf"(?<![A-Za-z0-9])(?:{'|'.join(ROADS['before_number'])})[  ](?:de[  ](?:la[  ])?)?{_WORDS}[  ]\d+[a-z]?(?:{_TAIL})?"),
+    re.compile(rf"(?<![{_A}0-9])(?:[{_A}-]+(?:{'|'.join(ROADS['joined'])})|[{_A}-]+[  ](?:{'|'.join(ROADS['apart'])}))[  ]\d+[  ]?[a-z]?(?:{_TAIL})?"),
 ]
 _SUR = rf"(?:[{_A}][{_L}'’]+|[{_U}]{{2,}})(?:-(?:[{_A}][{_L}'’]+|[{_U}]{{2,}}))?"
 _PART = "(?:" + "|".join(PARTICLES) + ")"
 _INITIAL = re.compile(rf"(?<![{_A}0-9@._-])(?:[{_U}]\.[  ]){{1,2}}(?:{_PART}[  ])?[{_U}][{_L}]{{2,}}(?:-[{_U}][{_L}]+)?(?![{_A}0-9@_])")
-_AFTER_GIVEN = re.compile(rf"(?:-[{_U}][{_L}]+)?(?:\s[{_U}]\.)?(?:\s{_PART})?\s({_SUR})(?![{_A}0-9@_]|\.[a-z]|-\d)")
-_BEFORE_GIVEN = re.compile(rf"(?<![{_A}0-9@._-])((?:{_PART}[  ])?{_SUR})(,?)\s(?:[{_U}]\.\s)?$")
+_AFTER_GIVEN = re.compile(rf"(?:-[{_U}][{_L}]+)?(?:[  ][{_U}]\.)?(?:[  ]{_PART})?[  ]({_SUR})(?![{_A}0-9@_]|\.[a-z]|-\d)")
+_BEFORE_GIVEN = re.compile(rf"(?<![{_A}0-9@._-])((?:{_PART}[  ])?{_SUR})(,?)[  ](?:[{_U}]\.[  ])?$")
+_DATE = re.compile(r"(?:19|20)\d\d-[01]\d(?:-[0-3]\d)?")
 _LETTER = re.compile(rf"[{_A}0-9@_]")
 
 
@@ -81,9 +82,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         if kind == "g":
             if _LETTER.match(text[at - 1 : at] or " ") or _LETTER.match(text[end : end + 1] or " ") or text[at - 1 : at] in (".", "-") and _LETTER.match(text[at - 2 : at - 1] or " "):
                 continue
-            if m := _AFTER_GIVEN.match(text, end):
-                if m[1].lower() not in NO_SURNAMES:
-                    found.add(("name", at, m.end()))
+            if (m := _AFTER_GIVEN.match(text, end)) and m[1].lower() not in NO_SURNAMES and m[1].islower() == text[at:end].islower():
+                found.add(("name", at, m.end()))
             left = max(0, at - 60)
             if m := _BEFORE_GIVEN.search(text[left:at]):
                 if (m[2] or m[1].isupper()) and m[1].lower() not in NO_SURNAMES:
@@ -99,7 +99,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
                     if m.start() <= at < m.end():
                         found.add(("address", m.start(), m.end()))
     for m in _NUMBER.finditer(text):
-        if sum(c.isdigit() for c in m[0]) >= 6:
+        if sum(c.isdigit() for c in m[0]) >= 6 and not _DATE.fullmatch(m[0]):
             found.add(("number", m.start(), m.end()))
     for m in _INITIAL.finditer(text):
         found.add(("name", m.start(), m.end()))

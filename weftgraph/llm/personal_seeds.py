@@ -33,7 +33,7 @@ CUES = {
     "phone": r"tel\b|phone|mobile|pager|call\b|rung|dial|sms|voicemail|on call|joignable|erreichbar|telefon|teléfono|電話|reached|answers|fallback|my number|\bleft\b|contact",
     "identity": r"ssn|social security|passport|national id|identit|insurance number|id[_ ]number|id card|tax id|licen[cs]e|ausweis|steuer|holder|person\b|documento|dni|nif|typed|securité|番号|inhaber",
     "address": r"address|residence|lives at|moved to|office was|deliver_to|sent to|form to|badge to|hallway of|wohnhaft|unterlagen|colis|paquete|住所|envi[oó] a|parti au",
-    "name": r"\b(?:dr|mrs|mr|ms|mme|frau|herr|sra|señora|signora?)\b\.?\s*$|signed off by|thanks to|yesterday|according to|\bowe\b|asked|account of|goes back to|nobody but|after lunch|both\b|attendees|owner|assignee|author|reviewed by|laut|selon|según|bearbeitet von|revisado por|gestern hat|ayer|team and|確認者|担当|\[ \]\s*$|relu par|par\s*$",
+    "name": r"\b(?:dr|mrs|mr|ms|mme|frau|herr|sra|señora|signora?)\b\.?\s*$|signed off by|thanks to|yesterday|according to|\bowe\b|asked|account of|goes back to|nobody but|after lunch|both\b|attendees|owner|assignee|author|reviewed by|laut|selon|según|bearbeitet von|revisado por|gestern hat|ayer|hier\s*$|reviewer|team and|確認者|担当|\[ \]\s*$|relu par|par\s*$",
     "technical": r"firmware|schema|checksum|offsets?|shelf|\bbin\b|invoice|\bkey\b|batch|ticket|build|version|release|port\b|probe|rows|commit|hash|section|font|theme|cluster|ms\b|clone|\bpin\b|decorate|pattern|\band\s*$",
     "name_after": r"\s*(?:pointed|found|reran|objected|an answer|for the patch|was closed|to review|and a long|knows|hat |a relu|repitió|, le second|, la segunda|war der|and the|: |のと|です|さん|has |left|said)",
     "technical_after": r"\s*(?:is a (?:test key|font)|was counted|never|did not match|and schema|are both|mark the|and bin|, so is|theme|\bis only\b|in the lock|are product|is the name|cluster|for the patch to its own)",
@@ -59,16 +59,16 @@ Section 14, Harbour Lane theme, uses 36 colours; 12 Long Street is a font.|The P
 Yesterday <N> found the missing header row.|Thanks to <N> for the patch.|Signed off by <N>.|We owe <N> an answer.|The account of <N> was closed in March.|We asked Dr. <N> to review the figures.|The complaint came from Mrs. <N>.|Frau <N> hat die Zahlen geprüft.
 Mme <N> a relu les chiffres.|According to <N>, the second run was clean.|Laut <N> war der zweite Lauf sauber.|Selon <N>, le second passage était correct.|Según <N>, la segunda ejecución fue correcta.|Both <N> and the portal team objected.|<N> pointed out that the file was empty.
 Nobody but <N> knows the password rotation.|The idea goes back to <N> and a long evening.|After lunch <N> reran the import and it passed.|Attendees: the graph team and <N>|"owner": "<N>",|assignee = <N>|Author: <N>|- [ ] <N>: check the figures|<N>: I would rather keep the old limit.
-Bearbeitet von <N>|Revisado por <N>|Ayer <N> repitió la carga.|Gestern hat <N> den Import neu gestartet.|確認者は <N> です。|Relu par <N>|Mr <N> left early.|担当は <N> さんです。|<N> wrote that.|Ask <N> first.
+Rédigé par <N>|Hier <N> a relancé l'import.|| reviewer | <N> | done |||Bearbeitet von <N>|Revisado por <N>|Ayer <N> repitió la carga.|Gestern hat <N> den Import neu gestartet.|確認者は <N> です。|Relu par <N>|Mr <N> left early.|担当は <N> さんです。|<N> wrote that.|Ask <N> first.
 Otto <role> and Clara <role> are product names.|Maria and Postgres adapters share the code path; Oscar Mode is the name of the dry run.|According to <sys>, the second run was clean.|Thanks to <sys> for the patch to its own config.|Author: <team>|Attendees: the graph team and <team>|Signed off by <team>.
-Team <team> owns it, while <sys> keeps running.|<sys> depends on <sys>.|assignee = <team>|Both <sys> and the portal team objected.|A. Overview|B. Index of tables|See appendix C. Results follow.|Clara <role> waits. Otto <role> too.|Anna <role> is a service|Victor Mode, Oscar Mode, Otto Mode
+Team <team> owns it, while <sys> keeps running.|<sys> depends on <sys>.|assignee = <team>|Both <sys> and the portal team objected.|See appendix C. Results follow.|Clara <role> waits. Otto <role> too.|Anna <role> is a service|Victor Mode, Oscar Mode, Otto Mode
 <N>\n<A>\n<P> | <E>|<N>\n<A>\n<P>
 """
 
 _SYLLABLES = [c + v for c in "b d f g k l m n p r s t v z st tr".split() for v in "aeio"]
 
 
-def labelled_sample(rounds: int = 14, seed: int = 7) -> list[tuple[str, set[tuple[str, int, int]]]]:
+def labelled_sample(rounds: int = 30, seed: int = 7) -> list[tuple[str, set[tuple[str, int, int]]]]:
     """Texts with their marked spans ``(kind, start, end)``: every seed sentence ``rounds`` times."""
     r = random.Random(seed)
     sentences = [s.replace("\\t", "\t").replace("\\n", "\n") for line in SENTENCES.strip().split("\n") for s in re.split(r"(?<!\|)\|(?![ |])|\|\|\|", line) if s.strip()]
@@ -93,6 +93,10 @@ def _word(r: random.Random, n: int = 3) -> str:
     return "".join(r.choice(_SYLLABLES) for _ in range(r.randint(2, n)))
 
 
+def _surname(r: random.Random) -> str:
+    return _word(r, r.choice([2, 2, 3])).capitalize() + r.choice(["", "", "k", "ch", "l", "s", "th", "n", *"feld mann etti eira wick moto mark quist ström oglu ovak ska ic iard ham ini".split()])
+
+
 def _digits(r: random.Random, shape: str) -> str:
     return "".join(str(r.randint(0, 9)) if c == "#" else r.choice("ABCDMOUX") if c == "@" else c for c in shape)
 
@@ -113,7 +117,7 @@ def _make(slot: str, r: random.Random) -> str:
     if slot == "<I>":
         shapes = "###-##-####|9##_##_####|QQ_##_##_##_C|QQ######A|########@|########-@|Z_###_###_#|ZZ#######|0#_###_###_###|000-##-####"
         return _digits(r, r.choice(shapes.split("|"))).replace("_", " ")
-    given, sur = r.choice(GIVEN_NAMES), _word(r).capitalize() + r.choice("feld mann etti eira wick moto mark quist ström oglu ovak ska".split())
+    given, sur = r.choice(GIVEN_NAMES), _surname(r)
     if slot == "<E>":
         local = r.choice([given.lower(), f"{given.lower()}.{sur.lower()}", f"{given.lower()}_{sur.lower()}", f"{given[0].lower()}{sur.lower()}", f"{sur.lower()}{r.randint(10, 99)}", f"{sur.lower()}.{given[0].lower()}+atlas", f"{given.lower()}-{sur[0].lower()}"])
         local = local.encode("ascii", "ignore").decode() or "info"
@@ -139,10 +143,10 @@ def _make(slot: str, r: random.Random) -> str:
         whole = f"{given} {r.choice('ABDHKNT')}. {sur}"
     elif form < 0.4:
         whole = f"{given} {r.choice(['von', 'van', 'de la', 'al'])} {sur}"
-    elif form < 0.5:
+    elif form < 0.54:
         whole = f"{r.choice('ABCDEGHJKLMNQX')}. {sur}"
-    elif form < 0.58:
+    elif form < 0.62:
         whole = whole.lower()
-    elif form < 0.68:
+    elif form < 0.72:
         whole = f"{given} {sur}-{_word(r).capitalize()}mann"
     return whole

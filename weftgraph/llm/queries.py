@@ -12,6 +12,7 @@ from weftgraph.llm.cutting import cut_items
 from weftgraph.llm.grouping import consolidate
 from weftgraph.llm.leaks import find_leaks
 from weftgraph.llm.matching import match_entities
+from weftgraph.llm.personal import find_personal
 from weftgraph.llm.tokens import encode_documents
 from weftgraph.runtime import table
 
@@ -68,12 +69,22 @@ def p8_items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "golden_items").select("item_id").join(leaks, "item_id", "left").select("item_id", F.coalesce("documents", F.lit(0)).alias("documents"), "longest_words")
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = find_personal(table(spark, d, "documents")).select("doc_id", F.explode("found").alias("f"))
+    return found.select("doc_id", "f.kind", "f.value").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return find_personal(table(spark, d, "documents")).select("doc_id", "text", F.size("found").alias("replaced"))
+
+
 QUERIES: dict[str, Query] = {
     "p2_found": p2_found, "p2_matches": p2_matches,
     "p3_found": p3_found, "p4_found": p4_found, "p4_pieces": p4_pieces,
     "p5_found": p5_found, "p5_files": p5_files,
     "p7_ids": p7_ids,
     "p8_found": p8_found, "p8_items": p8_items,
+    "p9_found": p9_found, "p9_redacted": p9_redacted,
 }
 
 SQL: dict[str, str] = {
