@@ -31,10 +31,10 @@ PLACEHOLDERS = {k: f"[{k.upper()}]" for k in KINDS}
 _U, _L = "A-ZÀ-ÖØ-ÞĀĂĄĆČĎĐĒĖĘĚĢĪĮŁŃŇŌŐŒŘŚŞŠŤŪŮŰŹŻŽ", "a-zß-öø-ÿāăąćčďđēėęěģīįłńňōőœřśşšťūůűźżž"
 _A = _U + _L
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+-]+(?:\.[A-Za-z0-9_%+-]+)*(?: ?@ ?|\(at\)|\[at\]| \[at\] | \(at\) )[A-Za-z0-9-]+(?:(?:\.| \[dot\] | \(dot\) |\[dot\])[A-Za-z0-9-]+)*")
-_NUMBER = re.compile(
-    r"(?<![A-Za-z0-9.,:/_#$€£-])(?:\+ ?|\()?\d(?:(?:\)[\s\u00a0]?|[ \u00a0]\(|[ \u00a0.\-/])?\d){5,18}(?:-?[A-Z](?![A-Za-z0-9]))?(?![A-Za-z0-9_]|[.:,\-/]\d)"
-    r"|(?<![A-Za-z0-9_-])[A-Z]{1,3}(?:[ -]?\d{1,8}){1,5}(?:[ -]?[A-Z])?(?![A-Za-z0-9_]|[- ]\d)"
-)
+#: Five digits or more, with single separators; what may stand around them is looked at after.
+_NUMBER = re.compile(r"\d(?:(?:\)[ \u00a0]?|[ \u00a0]\(|[ \u00a0.\-/])?\d){4,18}")
+_LEFT = re.compile(r"(?:(?<![A-Za-z0-9.,:/_#$€£-])(?:\+ ?|\()|(?<![A-Za-z0-9_-])[A-Z]{1,3}[ -]?|(?<![A-Za-z0-9.,:/_#$€£+(-]))$")
+_RIGHT = re.compile(r"((?:[ -]?[A-Z])?)(?![A-Za-z0-9_]|[.:,\-/]\d)")
 _TOWN = rf"[{_A}][{_A}'-]+(?: [{_U}][{_A}'-]+){{0,2}}"
 _UNIT = r"(?:(?:Flat|Apt|Apartment|Suite|Unit|Room) \d+[A-Za-z]?|\d+º ?[A-Z]?)"
 _TAIL = rf"(?:,[  ]{_UNIT})?,[  ](?:\d{{4,5}}[  ])?{_TOWN}(?:[  ][A-Z]{{1,2}}\d{{1,2}}[A-Z]?[  ]\d[A-Z]{{2}}|,?[  ]\d{{4,5}})?(?![A-Za-z0-9])"
@@ -47,9 +47,11 @@ _ADDRESS = [
 ]
 _SUR = rf"(?:[{_A}][{_L}'’]+|[{_U}]{{2,}})(?:-(?:[{_A}][{_L}'’]+|[{_U}]{{2,}}))?"
 _PART = "(?:" + "|".join(PARTICLES) + ")"
-_INITIAL = re.compile(rf"(?<![{_A}0-9@._-])(?:[{_U}]\.[  ]){{1,2}}(?:{_PART}[  ])?[{_U}][{_L}]{{2,}}(?:-[{_U}][{_L}]+)?(?![{_A}0-9@_])")
+_BEFORE = re.compile(rf"[{_A}0-9@._-]")
+_INITIAL = re.compile(rf"(?:[{_U}]\.[  ]){{1,2}}(?:{_PART}[  ])?[{_U}][{_L}]{{2,}}(?:-[{_U}][{_L}]+)?(?![{_A}0-9@_])")
 _AFTER_GIVEN = re.compile(rf"(?:-[{_U}][{_L}]+)?(?:[  ][{_U}]\.)?(?:[  ]{_PART})?[  ]({_SUR})(?![{_A}0-9@_]|\.[a-z]|-\d)")
 _BEFORE_GIVEN = re.compile(rf"(?<![{_A}0-9@._-])((?:{_PART}[  ])?{_SUR})(,?)[  ](?:[{_U}]\.[  ])?$")
+_DIGIT = re.compile(r"\d")
 _DATE = re.compile(r"(?:19|20)\d\d-[01]\d(?:-[0-3]\d)?")
 _LETTER = re.compile(rf"[{_A}0-9@_]")
 
@@ -65,11 +67,13 @@ def _automaton():
             a.add_word(form, ("g", len(form)))
     for mark in ("@", "(at)", "[at]"):
         a.add_word(mark, ("@", len(mark)))
-    for words in ROADS.values():
+    roads: dict[str, list[int]] = {}
+    for words, pattern in zip(ROADS.values(), (0, 1, 2, 3, 3), strict=True):
         for w in words:
-            w = w.replace("\\", "")
             for form in {w, w.lower(), w.capitalize()}:
-                a.add_word(form, ("r", len(form)))
+                roads.setdefault(form, []).append(pattern)
+    for form, patterns in roads.items():
+        a.add_word(form, (tuple(patterns), len(form)))
     a.make_automaton()
     return a
 
@@ -92,17 +96,25 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             for m in _EMAIL.finditer(text, max(0, at - 80), end + 120):
                 if m.start() <= at < m.end():
                     found.add(("email", m.start(), m.end()))
-        else:
+        elif not text[end : end + 1].isalpha():
             left, right = max(0, at - 90), min(len(text), end + 110)
-            for pattern in _ADDRESS:
-                for m in pattern.finditer(text, left, right):
-                    if m.start() <= at < m.end():
-                        found.add(("address", m.start(), m.end()))
+            for pattern in kind:
+                if (pattern == 3 or not text[at - 1 : at].isalpha()) and _DIGIT.search(text, *((left, at) if pattern < 2 else (end, right))):
+                    for m in _ADDRESS[pattern].finditer(text, left, right):
+                        if m.start() <= at < m.end():
+                            found.add(("address", m.start(), m.end()))
     for m in _NUMBER.finditer(text):
-        if sum(c.isdigit() for c in m[0]) >= 6 and not _DATE.fullmatch(m[0]):
-            found.add(("number", m.start(), m.end()))
+        if _DATE.fullmatch(m[0]):
+            continue
+        at, end = m.span()
+        left, right = _LEFT.search(text, max(0, at - 6), at), _RIGHT.match(text, end)
+        if left and right and sum(map(str.isdigit, m[0])) >= 6:
+            letters = left[0].strip(" -").isalpha()
+            stop = right.end(1) if not right[1] or letters or right[1][0] != " " else end
+            found.add(("number", left.start(), stop))
     for m in _INITIAL.finditer(text):
-        found.add(("name", m.start(), m.end()))
+        if not _BEFORE.match(text[m.start() - 1 : m.start()] or " "):
+            found.add(("name", m.start(), m.end()))
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 

@@ -15,7 +15,7 @@ GIVEN_NAMES = (
 ).split()
 PARTICLES = ("von der", "van der", "van den", "de la", "von", "van", "de", "del", "della", "di", "da", "dos", "al", "el", "bin", "ten")
 ROADS = {
-    "after": ["Street", "Lane", "Avenue", "Close", r"Rd", "Road", "blvd", "Boulevard", "Drive", "Court", "Crescent"],
+    "after": ["Street", "Lane", "Avenue", "Close", "Rd", "Road", "blvd", "Boulevard", "Drive", "Court", "Crescent"],
     "before_fr": ["rue", "avenue", "place", "boulevard", "allée", "impasse", "chemin", "quai"],
     "before_number": ["Calle", "Avenida", "Plaza", "Paseo", "Via", "Rua"],
     "joined": ["straße", "strasse", "gasse", "platz"],
