@@ -156,11 +156,11 @@ def clamp(c: Column | str, default: float = 0.7) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(col(c).cast("double"), F.lit(default))))
 
 
-def edge_evidence(tier: Column, source: Column) -> Column:
+def edge_evidence(p: str = "") -> Column:
     """authoritative, evidence_backed or weak."""
-    structured = F.coalesce(source == "structured_connector", F.lit(False))
-    weak = F.coalesce(tier.isin("inferred", "generated", "interpretive", "weak"), F.lit(False))
-    return F.when(structured, "authoritative").when(weak, "weak").otherwise("evidence_backed")
+    structured = F.coalesce(F.col(f"{p}extraction_source") == "structured_connector", F.lit(False))
+    some = (F.coalesce(f"{p}evidence_text", F.lit("")) != "") | (F.coalesce(f"{p}source_path", F.lit("")) != "")
+    return F.when(structured, "authoritative").when(some, "evidence_backed").otherwise("weak")
 
 
 def truncate(c: Column | str, limit: int) -> Column:

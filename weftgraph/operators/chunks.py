@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.columns import artifact_path, edge_evidence, is_opaque, layer, public_type, stable_id, truncate
+from weftgraph.functions.columns import artifact_path, is_opaque, layer, public_type, stable_id, truncate
 from weftgraph.operators.merge import changed_rows
 
 P = "project_slug"
@@ -111,19 +111,18 @@ def keyed_chunks(parts: list[DataFrame]) -> DataFrame:
 
 
 def entity_evidence(entities: DataFrame, assertions: DataFrame) -> DataFrame:
-    """``(project_slug, id, evidence_level)`` over an entity and all its assertions.
+    """``(project_slug, id, evidence_level)`` by the sources of an entity and all its assertions.
 
-    mixed if authoritative and other evidence meet, else the level they share.
+    mixed if structured and other sources meet; without structured ones, evidence_backed if
+    there is a span or text, else weak.
     """
-    own = entities.select(P, "id", edge_evidence(F.col("confidence_tier"), F.col("extraction_source")).alias("level"))
-    ends = None
-    for end in ("subject_id", "object_id"):
-        part = assertions.select(P, F.col(end).alias("id"), edge_evidence(F.col("confidence_tier"), F.col("extraction_source")).alias("level"))
-        ends = part if ends is None else ends.unionByName(part)
-    ends = ends.join(entities.select(P, "id"), [P, "id"], "left_semi")
-    flags = own.unionByName(ends).groupBy(P, "id").agg(*[F.max(F.col("level") == x).alias(x) for x in ("authoritative", "evidence_backed", "weak")])
-    level = F.when(F.col("authoritative") & (F.col("evidence_backed") | F.col("weak")), "mixed").when(F.col("authoritative"), "authoritative").when(F.col("evidence_backed"), "evidence_backed").otherwise("weak")
-    return flags.select(P, "id", level.alias("evidence_level"))
+    structured = F.coalesce(F.col("extraction_source") == "structured_connector", F.lit(False)).alias("structured")
+    some = (F.size(F.coalesce("source_span_ids", F.array().cast("array<string>"))) > 0) | (F.coalesce("graphify_id", F.lit("")) != "")
+    own = entities.select(P, "id", structured, some.alias("some"), F.lit(True).alias("known"))
+    ends = assertions.select(P, F.explode(F.array("subject_id", "object_id")).alias("id"), structured, (F.coalesce("evidence_text", F.lit("")) != "").alias("some"), F.lit(False).alias("known"))
+    f = own.unionByName(ends).groupBy(P, "id").agg(F.max("structured").alias("s"), F.min("structured").alias("all_s"), F.max("some").alias("some"), F.max("known").alias("known"))
+    level = F.when(F.col("s") & ~F.col("all_s"), "mixed").when(F.col("s"), "authoritative").when(F.col("some"), "evidence_backed").otherwise("weak")
+    return f.where("known").select(P, "id", level.alias("evidence_level"))
 
 
 def index_plan(current: DataFrame, stored: DataFrame) -> DataFrame:

@@ -94,8 +94,8 @@ def _sid(prefix: str, *parts: str) -> str:
     return f"'{prefix}_' || substr(sha256(concat_ws('::', {', '.join(f'coalesce(CAST({x} AS VARCHAR), {chr(39)*2})' for x in parts)})), 1, 16)"
 
 
-def _evidence(tier: str = "confidence_tier", source: str = "extraction_source") -> str:
-    return f"(CASE WHEN coalesce({source} = 'structured_connector', false) THEN 'authoritative' WHEN coalesce({tier} IN ('inferred', 'generated', 'interpretive', 'weak'), false) THEN 'weak' ELSE 'evidence_backed' END)"
+def _evidence() -> str:
+    return "(CASE WHEN coalesce(extraction_source = 'structured_connector', false) THEN 'authoritative' WHEN coalesce(evidence_text, '') <> '' OR coalesce(source_path, '') <> '' THEN 'evidence_backed' ELSE 'weak' END)"
 
 
 def _opaque(c: str) -> str:
@@ -236,12 +236,12 @@ def b17_search(spark, d):
 
 @query(f"WITH {_A} SELECT {_evidence()} AS level, count(*) AS n FROM a GROUP BY 1")
 def b20_edge_evidence(spark, d):
-    return _graph(spark, d).assertions.groupBy(C.edge_evidence(F.col("confidence_tier"), F.col("extraction_source")).alias("level")).agg(F.count("*").alias("n"))
+    return _graph(spark, d).assertions.groupBy(C.edge_evidence().alias("level")).agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_E}, {_A}, l AS (SELECT project_slug, id, {_evidence()} AS level FROM e UNION ALL SELECT project_slug, subject_id, {_evidence()} FROM a UNION ALL SELECT project_slug, object_id, {_evidence()} FROM a),
-f AS (SELECT l.project_slug, l.id, bool_or(level = 'authoritative') AS au, bool_or(level = 'evidence_backed') AS eb, bool_or(level = 'weak') AS we FROM l SEMI JOIN e ON e.project_slug = l.project_slug AND e.id = l.id GROUP BY ALL)
-SELECT project_slug, id, CASE WHEN au AND (eb OR we) THEN 'mixed' WHEN au THEN 'authoritative' WHEN eb THEN 'evidence_backed' ELSE 'weak' END AS evidence_level FROM f""")
+@query(f"""WITH {_E}, {_A}, l AS (SELECT project_slug, id, coalesce(extraction_source = 'structured_connector', false) AS st, len(coalesce(source_span_ids, [])) > 0 OR coalesce(graphify_id, '') <> '' AS evid, true AS known FROM e
+  UNION ALL SELECT project_slug, unnest([subject_id, object_id]), coalesce(extraction_source = 'structured_connector', false), coalesce(evidence_text, '') <> '', false FROM a)
+SELECT project_slug, id, CASE WHEN bool_or(st) AND NOT bool_and(st) THEN 'mixed' WHEN bool_or(st) THEN 'authoritative' WHEN bool_or(evid) THEN 'evidence_backed' ELSE 'weak' END AS evidence_level FROM l GROUP BY ALL HAVING bool_or(known)""")
 def b21_entity_evidence(spark, d):
     g = _graph(spark, d)
     return K.entity_evidence(g.entities, g.assertions)
