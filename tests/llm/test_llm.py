@@ -161,14 +161,14 @@ def test_tiles_cover_reordered_runs():
 
 
 ENTITY = "id string, project_slug string, type string, name string, normalized_name string, aliases array<string>, description string, metadata_json string, extraction_source string, ingested_at timestamp_ntz, names string, keys string"
-ROLES = frozenset("router loader vault harvester journal monitor".split())
+ROLES = frozenset("router loader vault harvester journal monitor index indexer".split())
 
 
 @pytest.mark.parametrize(
     ("a", "b", "same"),
     [
         ("Blorgan Router", "blorgan_router", True), ("Blorgan Router", "BlorganRouter", True), ("Blorgan Router", "Router (Blorgan)", True), ("Blorgan Router", "the Blörgan Router service", True), ("Blorgan Router", "Blorganrouter", True),
-        ("Blorgan Router", "Blorgan rtr", True), ("Blorgan Router", "Blrogan Router", True), ("Blorgan Router", "Blor. Router", True), ("Blorgan Journal", "Blorgan logbook", True), ("Blorgan Router [12]", "Blor gan Router", True),
+        ("Blorgan Router", "Blorgan rtr", True), ("Blorgan Router", "Blrogan Router", True), ("Blorgan Router", "Blor. Router", True), ("Blorgan Journal", "Blorgan logbook", True), ("Blorgan Index", "Blorgan Indexer", False), ("Blorgan idx", "Blorgan Indexer", True), ("Blorgan Router [12]", "Blor gan Router", True),
         ("Blorgan Router", "Blorgan Loader", False), ("Blorgan Router V2", "Blorgan Router V3", False), ("Blorgan Router", "Blorgan Router EU", False), ("Blorgan Router", "Takemi Router", False), ("BR", "Blorgan Router", True), ("BX", "Blorgan Router", False),
     ],
 )

@@ -51,6 +51,7 @@ _BEFORE = re.compile(rf"[{_A}0-9@._-]")
 _INITIAL = re.compile(rf"(?:[{_U}]\.[  ]){{1,2}}(?:{_PART}[  ])?[{_U}][{_L}]{{2,}}(?:-[{_U}][{_L}]+)?(?![{_A}0-9@_])")
 _AFTER_GIVEN = re.compile(rf"(?:-[{_U}][{_L}]+)?(?:[  ][{_U}]\.)?(?:[  ]{_PART})?[  ]({_SUR})(?![{_A}0-9@_]|\.[a-z]|-\d)")
 _BEFORE_GIVEN = re.compile(rf"(?<![{_A}0-9@._-])((?:{_PART}[  ])?{_SUR})(,?)[  ](?:[{_U}]\.[  ])?$")
+_LABELS = {"ID", "NR", "NO", "TEL", "SSN", "FAX", "NIF", "DNI"}
 _DIGIT = re.compile(r"\d")
 _DATE = re.compile(r"(?:19|20)\d\d-[01]\d(?:-[0-3]\d)?")
 _LETTER = re.compile(rf"[{_A}0-9@_]")
@@ -110,8 +111,12 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         left, right = _LEFT.search(text, max(0, at - 6), at), _RIGHT.match(text, end)
         if left and right and sum(map(str.isdigit, m[0])) >= 6:
             letters = left[0].strip(" -").isalpha()
+            if letters and left[0].strip(" -") in _LABELS:
+                letters = False
+            else:
+                at = left.start()
             stop = right.end(1) if not right[1] or letters or right[1][0] != " " else end
-            found.add(("number", left.start(), stop))
+            found.add(("number", at, stop))
     for m in _INITIAL.finditer(text):
         if not _BEFORE.match(text[m.start() - 1 : m.start()] or " "):
             found.add(("name", m.start(), m.end()))
