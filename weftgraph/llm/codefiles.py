@@ -27,7 +27,7 @@ class Thresholds:
     whitespace: float = 0.07  # at most, together with a line of max_line
     numeric: float = 0.33  # share of the visible characters in numeric literals
     encoded: float = 0.35  # share of all characters in long encoded runs
-    alphanumeric: float = 0.97  # share of the visible characters
+    alphanumeric: float = 0.97  # share of the visible characters, if hardly any are blank
     prose: float = 0.1  # long lines with fewer signs than this are prose, not code
 
 
@@ -125,10 +125,12 @@ def code_files(sources: DataFrame, spans: DataFrame) -> DataFrame:
 
     f = files.join(total, ["project", "key"], "left").withColumn("language", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
     path, visible = F.lower("path"), F.col("chars") - F.col("blank")
-    long_line = (F.col("max_line") >= _by_language("max_line")) & (F.col("long_signs") / F.col("long_chars") >= _by_language("prose"))
-    dense = long_line & ((F.col("chars") / F.col("lines") >= _by_language("mean_line")) | (F.col("blank") / F.col("chars") <= _by_language("whitespace")))
-    data = (F.col("encoded") / F.col("chars") >= _by_language("encoded")) | (F.col("numeric") / visible >= _by_language("numeric"))
-    data = data | (F.col("alnum") / visible >= _by_language("alphanumeric")) | (dense & F.col("language").isin("py", "go", "sql"))
+    share = lambda a, b: F.try_divide(F.col(a), F.col(b) if isinstance(b, str) else b)
+    long_line = (F.col("max_line") >= _by_language("max_line")) & (share("long_signs", "long_chars") >= _by_language("prose"))
+    dense = long_line & ((share("chars", "lines") >= _by_language("mean_line")) | (share("blank", "chars") <= _by_language("whitespace")))
+    data = (share("encoded", "chars") >= _by_language("encoded")) | (share("numeric", visible) >= _by_language("numeric"))
+    packed = share("blank", "chars") <= 0.03
+    data = data | (packed & (share("alnum", visible) >= _by_language("alphanumeric"))) | (dense & F.col("language").isin("py", "go", "sql"))
     yes = lambda c: F.coalesce(c, F.lit(False))
     kind = (
         F.when(yes(F.col("says_vendored") | path.rlike(VENDORED_PATHS)), "vendored")
