@@ -44,8 +44,10 @@ def cosine(vector: Column, query: Sequence[float]) -> Column:
     q = F.array(*[F.lit(float(x)) for x in query])
     v = F.transform(vector, lambda x: x.cast("double"))
     dot = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
     size = sum(x * x for x in query) ** 0.5
+    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
+    if not size:
+        return F.lit(None).cast("double")
     return F.when((F.size(vector) == len(query)) & (norm > 0), dot / (norm * F.lit(float(size))))
 
 
