@@ -31,6 +31,9 @@ GRAPH_REFERENCES = (
     Reference("knowledge_chunks", "entity_id", "entities"),
 )
 
+#: Stands for a null project of a referring record; it equals no parent's project.
+NO_PROJECT = "\x00null"
+
 
 def clean_key(c: Column) -> Column:
     """Without surrounding white space, in lower case."""
@@ -41,7 +44,7 @@ def _referring(df: DataFrame, ref: Reference) -> DataFrame:
     """One row for each distinct reference of each undeleted record."""
     targets = F.col(ref.column) if ref.is_array else F.array(ref.column)
     records = df.select(
-        F.lit(ref.table).alias("table_name"), F.lit(ref.parent).alias("parent"), "project_slug", F.col("id").alias("record_id"),
+        F.lit(ref.table).alias("table_name"), F.lit(ref.parent).alias("parent"), F.coalesce("project_slug", F.lit(NO_PROJECT)).alias("project_slug"), F.col("id").alias("record_id"),
         "ingested_at", F.col("deleted_at").isNotNull().alias("gone"), F.explode_outer(targets).alias("ref"),
     ).where("record_id is not null")
     return records.select("table_name", "parent", "project_slug", "record_id", clean_key(F.col("ref")).alias("ref_id"), "ingested_at", "gone")
@@ -61,9 +64,11 @@ def orphan_references(tables: Mapping[str, DataFrame], references: tuple[Referen
     for ref in references:
         part = _referring(tables[ref.table], ref)
         refs = part if refs is None else refs.unionByName(part)
-    record = ("table_name", "parent", "project_slug", "record_id")
-    whole = refs.groupBy(*record).agg(F.min("ingested_at").alias("ingested_at"), F.max("gone").alias("gone"), F.collect_set("ref_id").alias("ref_ids"))
-    live = whole.where("not gone").select(*record, "ingested_at", F.explode("ref_ids").alias("ref_id")).where("ref_id <> ''")
+    # Distinct references first, then the records' facts from them: no group is gathered.
+    record = ["table_name", "parent", "project_slug", "record_id"]
+    pairs = refs.groupBy(*record, "ref_id").agg(F.min("ingested_at").alias("seen"), F.max("gone").alias("gone"))
+    whole = pairs.groupBy(*record).agg(F.min("seen").alias("ingested_at"), F.max("gone").alias("gone")).where("not gone").drop("gone")
+    live = pairs.where("ref_id <> ''").select(*record, "ref_id").join(whole, record)
 
     parents = None
     for name in sorted({r.parent for r in references}):
@@ -78,10 +83,8 @@ def orphan_references(tables: Mapping[str, DataFrame], references: tuple[Referen
     flawed = flawed.select(*key, F.when(F.col("parent_gone"), "deleted").otherwise("late").alias("state"), "parent_at")
     bad = missing.unionByName(flawed)
 
-    project = F.coalesce("project_slug", F.lit("\x00null"))
-    back = live.withColumn("p", project).drop("project_slug").join(bad.withColumn("p", project).drop("project_slug"), ["parent", "p", "ref_id"])
-    back = back.where("state <> 'late' or parent_at > ingested_at")
-    return back.select("table_name", F.nullif(F.col("p"), F.lit("\x00null")).alias("project_slug"), "record_id", "ref_id", "state", "ingested_at")
+    back = live.join(bad, key).where("state <> 'late' or parent_at > ingested_at")
+    return back.select("table_name", F.nullif(F.col("project_slug"), F.lit(NO_PROJECT)).alias("project_slug"), "record_id", "ref_id", "state", "ingested_at")
 
 
 def orphan_counts(orphans: DataFrame) -> DataFrame:

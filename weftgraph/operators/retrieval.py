@@ -81,8 +81,8 @@ def bounded_paths(edges: DataFrame, start: DataFrame, limit: int = 6) -> DataFra
 def enrichment(architecture: DataFrame, summaries: DataFrame, limit: int = 100) -> DataFrame:
     """Pairs of a component and a data summary all of whose words the component's texts have.
 
-    An inverted index by word: each summary is looked up under its rarest-first word, the
-    others are verified, so no cross product is formed.
+    An inverted index by word: each summary is looked up under one of its words, the others
+    are verified, so no cross product is formed.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.regexp_replace(F.regexp_replace(c, "([a-z0-9])([A-Z])", "$1 $2"), "[^A-Za-z0-9]+", " ")), " "), lambda w: F.length(w) > 2))
     stem = lambda w: F.regexp_replace(F.regexp_replace(w, "ing$", ""), "s$", "")
