@@ -239,6 +239,15 @@ def _against(own: DataFrame, shared, schema: str, least_words: int, altered: flo
     return own.mapInArrow(scan, schema)
 
 
+def _windows(ids: np.ndarray, start: int, end: int, step: int) -> Iterator[np.ndarray]:
+    """A stretch as it is, or in overlapping windows if it is long; every quote lies in one of them."""
+    if end - start <= 3 * step:
+        yield ids[start:end]
+        return
+    for at in range(start, max(start + 1, end - step), step):
+        yield ids[at : min(end, at + 2 * step)]
+
+
 def leaks_of(text: str, items: Items, least_words: int, altered: float, least_seeds: int) -> list[tuple[int, int, float]]:
     found = words(text)
     if len(found) < SEED or not len(items.seeds):
@@ -267,10 +276,12 @@ def leaks_of(text: str, items: Items, least_words: int, altered: float, least_se
         for part in np.split(spots, cuts):
             if len(part) < least_seeds:
                 continue
-            stretch = ids[max(0, part[0] - 12) : part[-1] + SEED + 12]
-            best = max(best, longest_quote(passage, stretch, altered))
-            if best >= least_words:
-                cover = max(cover, sum(n for _, _, n in tiles(passage, stretch) if n >= SEED) / len(passage))
+            for stretch in _windows(ids, max(0, part[0] - 12), min(len(ids), part[-1] + SEED + 12), 2 * len(passage)):
+                best = max(best, longest_quote(passage, stretch, altered))
+                if best >= least_words:
+                    cover = max(cover, sum(n for _, _, n in tiles(passage, stretch) if n >= SEED) / len(passage))
+                if best >= len(passage):
+                    break
         if best >= least_words:
             out.append((key, best, cover))
     return out

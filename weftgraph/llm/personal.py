@@ -12,6 +12,7 @@ The corpus passes once, in Arrow batches without an exchange, whole texts at a t
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -187,12 +188,13 @@ def spans(texts: list[str | None], fitted: dict[str, Boosted]) -> list[list[tupl
                     scored[n].append((p, start, end, kind))
     out = []
     for one in scored:
-        taken: list[tuple[int, int, str]] = []
+        taken: list[tuple[int, int, str]] = []  # in their order, apart from each other
         # emails hold their names; then the surer, then the longer span
         for _, start, end, kind in sorted(one, key=lambda x: (x[3] != "email", -round(x[0], 1), x[1] - x[2], x[1])):
-            if all(end <= s or start >= e for s, e, _ in taken):
-                taken.append((start, end, kind))
-        out.append(sorted(taken))
+            at = bisect_left(taken, (start, end, kind))
+            if (at == 0 or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                taken.insert(at, (start, end, kind))
+        out.append(taken)
     return out
 
 
