@@ -11,7 +11,7 @@ from weftgraph.llm import codefiles, leaks, matching, personal
 from weftgraph.llm.boosting import Boosted
 from weftgraph.llm.cutting import cut_items, pieces
 from weftgraph.llm.grouping import components, consolidate
-from weftgraph.llm.personal_seeds import labelled_sample
+from weftgraph.llm.personal_seeds import GIVEN_NAMES, labelled_sample
 from weftgraph.llm.tokens import DEFAULT_VOCABULARY, Encoder, encode_documents
 from weftgraph.runtime import Workspace
 
@@ -235,6 +235,20 @@ def test_personal_held_out_accuracy(fitted):
     assert hit / (hit + miss) > 0.95 and hit / (hit + extra) > 0.95
 
 
+@pytest.mark.parametrize("name", ["Bartholomew Quigley", "Thandeka Mbeki", "Siobhan O'Brien", "Nguyen Thi Lan", "Rashid bin Karim", "Okafor, Chinedu", "HALVORSEN Sigrid", "Aoife J. Kavanagh", "ludmila hrabova"])
+def test_personal_names_outside_the_list(fitted, name):
+    """No given name is listed: its context alone makes it a name."""
+    assert not set(name.replace(",", "").split()) & set(GIVEN_NAMES)
+    for before, after in (("Signed off by ", "."), ("We owe ", " an answer."), ("Frau ", " hat die Zahlen geprüft."), ("Attendees: the graph team and ", "\n")):
+        text = before + name + after
+        assert [(text[s:e], k) for s, e, k in personal.spans([text], fitted)[0]] == [(name, "person_name")]
+
+
+def test_personal_unlike_names(fitted):
+    for text in ("Thanks to Fodazil Router for the patch.", "Signed off by Graph Core.", "The Park Avenue cluster fails.", "According to the second run, it works.", "Der Dienst Libilize Balancer läuft.", "Unlike Nitofodor Mirror, it stays."):
+        assert personal.spans([text], fitted)[0] == []
+
+
 def test_personal_redaction(spark):
     text = "Write to ruth.tose@example.org or call +44 20 7946 0056.\r\nThe clerk typed QQ 07 51 10 C into the SSN field. She moved to 12 Baker Street, Pevoton in spring.\nSigned off by Hugo von Tose. Firmware 01.99.00.13 and schema 020-7986 are obsolete."
     df = spark.createDataFrame([(1, text, "v"), (2, None, "v"), (3, "", "v"), (None, "x", "v"), (1, text, "v")], "doc_id long, text string, value string")

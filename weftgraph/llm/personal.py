@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm.boosting import Boosted
-from weftgraph.llm.personal_seeds import COMPONENT_WORDS, CUES, GIVEN_NAMES, NO_SURNAMES, PARTICLES, ROADS, labelled_sample
+from weftgraph.llm.personal_seeds import COMPONENT_WORDS, CUES, GIVEN_NAMES, LOWER_CUES, NO_SURNAMES, PARTICLES, PLACE_WORDS, ROADS, STARTERS, labelled_sample
 
 KINDS = ("email", "phone", "identity_number", "street_address", "person_name")
 #: Least probability of a replaced span.
@@ -52,6 +52,13 @@ _BEFORE = re.compile(rf"[{_A}0-9@._-]")
 _INITIAL = re.compile(rf"(?:[{_U}]\.[  ]){{1,2}}(?:{_PART}[  ])?[{_U}][{_L}]{{2,}}(?:-[{_U}][{_L}]+)?(?![{_A}0-9@_])")
 _AFTER_GIVEN = re.compile(rf"(?:-[{_U}][{_L}]+)?(?:[  ][{_U}]\.)?(?:[  ]{_PART})?[  ]({_SUR})(?![{_A}0-9@_]|\.[a-z]|-\d)")
 _BEFORE_GIVEN = re.compile(rf"(?<![{_A}0-9@._-])((?:{_PART}[  ])?{_SUR})(,?)[  ](?:[{_U}]\.[  ])?$")
+#: A word that may be part of a name, whether listed or not, and what may stand between two.
+_NAME_WORD = re.compile(rf"[{_U}](?<![{_A}0-9@._-].)(?:\.(?=[  ])|(?:(?:(?:(?<=M)a?c|(?<=[OD])['’])[{_U}])?[{_L}'’]+|[{_U}]+)(?:-(?:[{_U}][{_L}'’]+|[{_U}]{{2,}}))*(?![{_A}0-9@_]|\.[a-z]|-\d))")
+_GAP = re.compile(rf",?[  ](?:{_PART}[  ])?")
+_LEADING = re.compile(rf"(?<![{_A}0-9@._-])(?:{_PART})[  ]$")
+_WORD_BEFORE, _WORD_AFTER = re.compile(rf"([{_A}][{_A}'’-]*)[  ]$"), re.compile(rf"[  ][{_U}][{_A}]")
+#: Names in small letters are proposed only right after a name cue.
+_LOWER = re.compile(rf"\.?\"?[  ]?[:=|]?[  ]?\"?(?<![{_A}])([{_L}'’]{{2,}}(?:[  ]{_PART})?[  ][{_L}'’]{{3,}}(?:-[{_L}]{{2,}})?)(?![{_A}0-9@_(]|\.[a-z]|-\d)")
 _LABELS = {"ID", "NR", "NO", "TEL", "SSN", "FAX", "NIF", "DNI"}
 _DIGIT = re.compile(r"\d")
 _DATE = re.compile(r"(?:19|20)\d\d-[01]\d(?:-[0-3]\d)?")
@@ -60,13 +67,16 @@ _LETTER = re.compile(rf"[{_A}0-9@_]")
 
 @lru_cache(maxsize=1)
 def _automaton():
-    """One pass over a text finds given names, road words and marks of addresses."""
+    """One pass over a text finds given names, name cues, road words and marks of addresses."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
     for name in GIVEN_NAMES:
         for form in {name, name.upper(), name.lower()}:
             a.add_word(form, ("g", len(form)))
+    for cue in LOWER_CUES:
+        for form in {cue, cue.capitalize()}:
+            a.add_word(form, ("c", len(form)))
     for mark in ("@", "(at)", "[at]"):
         a.add_word(mark, ("@", len(mark)))
     roads: dict[str, list[int]] = {}
@@ -94,6 +104,9 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
             if m := _BEFORE_GIVEN.search(text[left:at]):
                 if (m[2] or m[1].isupper()) and m[1].lower() not in NO_SURNAMES:
                     found.add(("name", left + m.start(), end))
+        elif kind == "c":
+            if not text[at - 1 : at].isalpha() and (m := _LOWER.match(text, end)) and m[1].split()[-1] not in NO_SURNAMES:
+                found.add(("name", *m.span(1)))
         elif kind == "@":
             for m in _EMAIL.finditer(text, max(0, at - 80), end + 120):
                 if m.start() <= at < m.end():
@@ -121,9 +134,28 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     for m in _INITIAL.finditer(text):
         if not _BEFORE.match(text[m.start() - 1 : m.start()] or " "):
             found.add(("name", m.start(), m.end()))
+    found |= {("name", at, end) for at, end in _unlisted(text)}
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
+def _unlisted(text: str) -> Iterator[tuple[int, int]]:
+    """Any two to four capitalised words in a row, with particles and initials, or ``Surname, Given``."""
+    words = list(_NAME_WORD.finditer(text))
+    for i, first in enumerate(words):
+        full, comma = int(first[0][-1] != "."), False
+        for j in range(i + 1, min(i + 4, len(words))):
+            gap = text[words[j - 1].end() : words[j].start()]
+            if len(gap) > 12 or not _GAP.fullmatch(gap) or comma or gap[0] == "," and (j > i + 1 or not full):
+                break
+            comma = gap[0] == ","
+            if words[j][0][-1] != ".":
+                full += 1
+                if full > 1 and words[j][0].lower() not in NO_SURNAMES:
+                    yield first.start(), words[j].end()
+                    if m := _LEADING.search(text, max(0, first.start() - 10), first.start()):
+                        yield m.start(), words[j].end()
+
+
 _GENERATORS = {"email": ("email",), "number": ("phone", "identity_number"), "address": ("street_address",), "name": ("person_name",)}
 _CUE = {k: re.compile(v, re.IGNORECASE) for k, v in CUES.items()}
 _GIVEN = {n.lower() for n in GIVEN_NAMES}
@@ -140,6 +172,7 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
     letters = re.findall(r"[A-Za-z]+", s)
     words = re.findall(rf"[{_A}]+", s)
     lower = {w.lower() for w in words}
+    previous = _WORD_BEFORE.search(before)
     return [
         len(s), sum(sizes), len(groups), sizes[0], sizes[-1], max(sizes), min(sizes), float(s.startswith("+")), float(s.startswith("0")), float(s.startswith("00")),
         float("(" in s), s.count("."), s.count("-"), s.count(" ") + s.count(" "), s.count("/"), s.count(","), s.count("\n"),
@@ -149,6 +182,8 @@ def features(text: str, kind: str, start: int, end: int) -> list[float]:
         float("@" in s), float(bool(re.search(r"[@\])]\s?[A-Za-z0-9-]*\d+\.\d", s))), float(bool(re.search(r"(?:\.|\[dot\] ?|\(dot\) ?)[A-Za-z]{2,}$", s))), float(s.lower().startswith("git@")), float(after.startswith(":")),
         float(not line_before.strip(" -*>|#\"'`[]()")), float(not line_after.strip(" -*|\"'`,.)]}")), float(bool(re.match(r"\s*\|", line_after))), float(bool(re.search(r"[=:\t|]\s*[\"'<]?$", line_before))),
         float(bool(re.match(r"[^\S\n]*\r?\n.{0,14}\d", after))),
+        float(bool(words) and words[0].lower() in STARTERS), float(bool(lower & STARTERS)), float(bool(words) and words[0].lower() in _GIVEN), float(bool(words) and words[-1].lower() in _GIVEN),
+        float(bool(previous) and previous[1][0].isupper() and previous[1].lower() not in STARTERS), float(bool(_WORD_AFTER.match(after))), float(bool(lower & PLACE_WORDS)), float((line_before + line_after).isupper()),
         *[float(bool(c.search(near))) for k, c in _CUE.items() if not k.endswith("_after")],
         *[float(bool(c.match(line_after))) for k, c in _CUE.items() if k.endswith("_after")],
     ]

@@ -28,6 +28,23 @@ COMPONENT_WORDS = set(
 )
 NO_SURNAMES = set("and or the of is in at on for to by was has had und oder der die das et ou le la les y o el los con hat a mode knows owns keeps mailto contact from we said".split()) | COMPONENT_WORDS
 
+#: Words that begin sentences or stand before a name, and are no part of one.
+STARTERS = set(
+    "the because this that these those our your his her their its a an and or but if when while unlike like after before since until last next every each any some all no not only both either neither "
+    "yesterday today tomorrow monday tuesday wednesday thursday friday saturday sunday january february march april june july august september october november december "
+    "according thanks signed we they he she it you author owner assignee reviewer attendees moderator analyst contact home address mobile section figure appendix see team role title "
+    "dr mr mrs ms mme mlle herr frau sr sra señor señora signor signora prof dear from to of by with in on at for as is was are were ask asked both nobody somebody "
+    "der die das den dem des ein eine einer dienst laut nach vor seit für bei mit und oder aber gestern heute niemand wir sie er es größere bearbeitet geprüft "
+    "le la les un une des du et ou selon hier rédigé relu par nous ils elle il équipe l'équipe pflege "
+    "el los las una unos según ayer revisado por nosotros ellos y con para equipo".split()
+)
+PLACE_WORDS = {w.lower().rstrip(".") for words in ROADS.values() for w in words}
+#: Right after one of these a name may be written in small letters.
+LOWER_CUES = (
+    "signed off by|thanks to|according to|reviewed by|bearbeitet von|revisado por|rédigé par|relu par|we owe|we asked|account of|goes back to|nobody but|laut|selon|según|yesterday|ayer|hier|after lunch|both|team and"
+    "|dr|mrs|mr|ms|mme|frau|herr|sra|señora|author|owner|assignee|reviewer|attendees|確認者は|担当は|- [ ]"
+).split("|")
+
 #: What stands before (or after) a span, by kind, and before technical numbers.
 CUES = {
     "phone": r"tel\b|phone|mobile|pager|call\b|rung|dial|sms|voicemail|on call|joignable|erreichbar|telefon|teléfono|電話|reached|answers|fallback|my number|\bleft\b|contact",
@@ -65,12 +82,20 @@ Team <team> owns it, while <sys> keeps running.|<sys> depends on <sys>.|assignee
 <N>\n<A>\n<P> | <E>|<N>\n<A>\n<P>
 """
 
+#: What looks like a name and is none: ``<up>`` an unknown capitalised word, ``<low>`` one in small letters, ``<common>`` everyday words.
+UNLIKE_NAMES = """
+Yesterday <sys> found the missing header row.|Unlike <sys>, it keeps running.|The <sys> depends on <sys>.|Der Dienst <sys> läuft.|Die Prüfung von <sys> steht aus.|Last Friday <sys> failed.|Team <team> owns it.|L'équipe <team> garde <sys>.
+The <up> Mode is the name of the dry run.|<team> objected.|"owner": "<team>",|| reviewer | <team> | done ||Author: <sys>|<sys>: keeps the old limit.|# Runbook: <sys>|# ADR: <up> <up>|Nobody but <team> knows the password rotation.|We owe <team> an answer.
+Laut <team> war der zweite Lauf sauber.|Selon <sys>, le second passage était correct.|Según <sys>, la segunda ejecución fue correcta.|Thanks to <common> for once.|Because <up> waits, <up> stays.|Sie übernimmt die Pflege von <up>.|STAMPED BY <UP> PER EPOCH|<UP> <UP> CARRY <UP>|WHICH <UP> IGNORES THE <UP> <UP> PER WEEK|FROZEN <UP> OF <UP>|Wer <low> liest, wird hier <low>.|Yesterday <low> the file.|L'équipe <up> <up> dort.|According to <common>, it is clean.|Both <common> objected.|We asked <common> to review.
+The <up> <up> theme is a font.|See <up> <up> in the appendix.|<up> <up> is a product.|Release <up> <up> never shipped.|# API Doc: <sys>|# HTTP Guide|## JSON Notes for <up>|Die Pflege von <up> wird anders behandelt.|Laut <up> anders behandelt als <sys>.|- [ ] <common>|owner: <common>|After lunch <common> began.|assignee = <team>|Größere Absätze stehen in <sys>.|Nobody but <common> knows.
+"""
+
 _SYLLABLES = [c + v for c in "b d f g k l m n p r s t v z st tr".split() for v in "aeio"]
 
 
 def labelled_sample(rounds: int = 30, seed: int = 7) -> list[tuple[str, set[tuple[str, int, int]]]]:
     """Texts with their marked spans ``(kind, start, end)``: every seed sentence ``rounds`` times."""
-    r = random.Random(seed)
+    r, own = random.Random(seed), random.Random(seed + 1)
     sentences = [s.replace("\\t", "\t").replace("\\n", "\n") for line in SENTENCES.strip().split("\n") for s in re.split(r"(?<!\|)\|(?![ |])|\|\|\|", line) if s.strip()]
     out = []
     for _ in range(rounds):
@@ -81,14 +106,37 @@ def labelled_sample(rounds: int = 30, seed: int = 7) -> list[tuple[str, set[tupl
                 text += r.choice(["", "", "- ", "The counter merges aliases. "]) if "\n" not in s and s[:1] not in '|"' else ""
                 for piece in re.split(r"(<(?:[EPIAN]|num|sys|team|role)>)", s):
                     value = _make(piece, r) if re.fullmatch(r"<\w+>", piece) else piece
+                    if piece == "<N>" and own.random() < 0.6:
+                        value = _unlisted(value, own)
+                        if own.random() < 0.5 and re.fullmatch(r"\w+ \w+", value) and text.lower().rstrip(' =:"|').endswith(tuple(LOWER_CUES)):
+                            value = value.lower()
                     if (kind := _KINDS.get(piece[1:-1] if len(piece) == 3 else "")) and value != piece:
                         marks.add((kind, len(text), len(text) + len(value)))
                     text += value
                 text += r.choice(["\n\n", "\n", "\n\n", " "]) if "\n" not in s and s[:1] not in '|"' and not s.endswith((">", "|")) else "\n\n"
             out.append((text, marks))
+        unlike = [s for line in UNLIKE_NAMES.strip().split("\n") for s in re.split(r"(?<=[.\w,>|])\|(?=\S)", line)]
+        for k in range(0, len(unlike), 3):
+            out.append(("\n".join(re.sub(r"<\w+>", lambda m: _make(m[0], own), s) for s in unlike[k : k + 3]), set()))
+        for _ in range(4):
+            text, marks = "", set()
+            for slot, end in (("<N>", "\n"), ("<A>", "\n"), ("<P>", "\n\n")):
+                value = _make(slot, own)
+                marks.add((_KINDS[slot[1]], len(text), len(text) + len(value)))
+                text += value + end
+            out.append((text, marks))
     return out
 
 
+def _unlisted(name: str, r: random.Random) -> str:
+    """The name with a made-up given name in place of the listed one, in the same letters."""
+    made = _word(r).capitalize() + r.choice(["", "", "n", "s", "l", "na", "th", "wen", "ra", "x"])
+    return re.sub(r"[^\W\d_]+", lambda m: next((f(made) for f in (str, str.upper, str.lower) if m[0] in _FORMS[f]), m[0]), name)
+
+
+_FORMS = {f: {f(n) for n in GIVEN_NAMES} for f in (str, str.upper, str.lower)}
+
+
 def _word(r: random.Random, n: int = 3) -> str:
     return "".join(r.choice(_SYLLABLES) for _ in range(r.randint(2, n)))
 
@@ -107,6 +155,14 @@ def _make(slot: str, r: random.Random) -> str:
         return role
     if slot == "<sys>":
         return _word(r, 4).capitalize() + r.choice(["", f" {role}"])
+    if slot == "<up>":
+        return _word(r, 4).capitalize()
+    if slot == "<low>":
+        return f"{_word(r)} {_word(r)}{r.choice(['t', 'en', 'ed', 'ing', 's'])}"
+    if slot == "<UP>":
+        return _word(r, 4).upper()
+    if slot == "<common>":
+        return r.choice("the second run|the old limit|careful planning|everyone else|nobody at all|the whole team|release notes|this change|two reviewers|daily checks|the figures|check the figures|update the index|open questions|anders behandelt|mal geprüft|autrement traité|otra vez".split("|"))
     if slot == "<team>":
         return f"{r.choice('Graph Audit Claims Ontology Identity Search'.split())} {r.choice('Core Tools Platform Operations Foundations'.split())}"
     if slot == "<num>":
