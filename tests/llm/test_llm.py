@@ -193,6 +193,29 @@ def test_matching(spark):
     assert matching.match_entities(spark.createDataFrame([], ENTITY)).count() == 0
 
 
+def test_near_spellings_cover_all_accepted_roots():
+    r = random.Random(11)
+
+    def edit(s):
+        k = r.randrange(len(s))
+        return r.choice([s[:k] + s[k + 1 :], s[:k] + r.choice("abcd") + s[k:], s[:k] + r.choice("abcd") + s[k + 1 :], s[:k] + s[k + 1 : k + 2] + s[k] + s[k + 2 :]])
+
+    for _ in range(3000):
+        a = "".join(r.choice("abcd") for _ in range(r.randint(5, 11)))
+        b = edit(edit(a))
+        if matching._two_names(("full", a, (), ""), ("full", b, (), "")) > 0 and min(len(a), len(b)) >= 5:
+            assert matching.near_spellings(a) & matching.near_spellings(b), (a, b)
+
+
+def test_two_typos_without_a_bridge(spark):
+    def e(k, name, source, meta):
+        return (k, "p", "System", name, None, None, None, meta, source, None, "", "")
+
+    data = [e(f"f{k}", f"Filler{k} {r.title()}", "graphify", None) for k, r in enumerate(sorted(ROLES) * 3)]
+    data += [e("a", "detrefaakol indexer", "graphify", '{"port": 7, "owner": "team-x", "since": "2024-01"}'), e("b", "dterefakol indexer", "document_ingest", '{"owner": "team-x", "since": "2024-01"}')]
+    assert rows(matching.match_entities(spark.createDataFrame(data, ENTITY)), "id_a", "id_b") == [("a", "b")]
+
+
 def code(spark, *files):
     s = spark.createDataFrame([("p", f"S{k}", path, "repo_file") for k, (path, _) in enumerate(files)] + [("p", None, "x/vendor/y.py", "repo_file"), ("p", "doc", "a/vendor/b.md", "document")], "project_slug string, id string, path string, source_type string")
     sp = spark.createDataFrame([("p", f"{k}-{n}", f" s{k} ", n, t) for k, (_, texts) in enumerate(files) for n, t in enumerate(texts)] * 2 + [("p", None, None, 0, "x"), ("p", "z", "s0", 0, None)], "project_slug string, id string, source_id string, chars int, text string")
