@@ -214,6 +214,19 @@ def test_signatures_count_without_paths(spark, small_edges):
     assert got == want
 
 
+def test_signatures_of_three_hops(spark, small_edges):
+    data, df = small_edges
+    start = spark.createDataFrame([("p", "a"), ("p", "e")], "project_slug string, a string")
+    kind = lambda n: "K" if n < "d" else "L"
+    want = {}
+    for n, _, q in brute_trails(data, 1) + brute_trails(data, 2) + brute_trails(data, 3):
+        if n[0] in "ae":
+            key = (kind(n[-1]), tuple(reversed(q)), tuple(kind(x) for x in reversed(n[1:-1])))
+            want[key] = want.get(key, 0) + 1
+    got = {(r["group_type"], tuple(r["predicates"]), tuple(r["intermediate_types"])): r["examples"] for r in E.signatures(df, start, hops=3).collect()}
+    assert got == want and any(len(p) == 3 for _, p, _ in got)
+
+
 def test_degrees_and_impact(spark, small_edges):
     data, df = small_edges
     d = {r["id"]: (r["fan_in"], r["fan_out"], r["degree"]) for r in E.degrees(df).collect()}

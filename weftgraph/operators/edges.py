@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from weftgraph.functions.columns import predicate_weight
 from weftgraph.operators.merge import live
+from weftgraph.runtime import Workspace
 
 P = "project_slug"
 
@@ -97,12 +98,17 @@ def path_rank(edges: DataFrame, predicates: Sequence[str], filter_node: Column,
     return counted.orderBy(F.asc("value") if lowest else F.desc("value"), "candidate").limit(limit)
 
 
-def signatures(edges: DataFrame, start: DataFrame, limit: int = 200) -> DataFrame:
-    """Kinds of one and two hop paths from the start nodes, with how many there are.
+def signatures(edges: DataFrame, start: DataFrame, limit: int = 200, hops: int = 2) -> DataFrame:
+    """Kinds of paths of two hops at most, or three, from the start nodes, with how many there are.
 
     ``(group_type, predicates, intermediate_types, hops, examples)``.  Counts are carried
     along node by node, so a hub costs its number of predicates, not its paths.
     """
+    if hops not in (2, 3):
+        raise ValueError("signatures have two or three hops at most")
+    space = Workspace(edges.sparkSession) if hops == 3 else None
+    if space:  # the plan of three hops reads its edges some twenty times
+        edges = space.cut(edges.select(P, "id", "predicate", "subject_id", "object_id", "s_type", "o_type"))
     typed = edges.select(P, F.col("id").alias("eid"), "predicate", F.col("subject_id").alias("a"), F.col("object_id").alias("b"), F.col("o_type").alias("b_type"))
     back = edges.where("subject_id <> object_id").select(P, F.col("id").alias("eid"), "predicate", F.col("object_id").alias("a"), F.col("subject_id").alias("b"), F.col("s_type").alias("b_type"))
     sym = typed.unionByName(back)
@@ -118,7 +124,31 @@ def signatures(edges: DataFrame, start: DataFrame, limit: int = 200) -> DataFram
     loops = loops.groupBy("group_type", F.col("predicate").alias("p1"), F.col("predicate").alias("p2"), "mid").agg(F.count("*").alias("less"))
     hop2 = pairs.join(loops, ["group_type", "p1", "p2", "mid"], "left").withColumn("examples", F.expr("examples - coalesce(less, 0)")).where("examples > 0")
     hop2 = hop2.select("group_type", F.array("p2", "p1").alias("predicates"), F.array("mid").alias("intermediate_types"), F.lit(2).alias("hops"), "examples")
-    return hop1.unionByName(hop2).orderBy(F.desc("examples"), "hops", "group_type", "predicates", "intermediate_types").limit(limit)
+    found = hop1.unionByName(hop2) if hops == 2 else hop1.unionByName(hop2).unionByName(_third_hop(edges, sym, one, space))
+    return found.orderBy(F.desc("examples"), "hops", "group_type", "predicates", "intermediate_types").limit(limit)
+
+
+def _third_hop(edges: DataFrame, sym: DataFrame, one: DataFrame, space: Workspace) -> DataFrame:
+    """Signatures of three hops a - b - c - d: all walks, less those that use an edge twice.
+
+    With the first two edges apart, the third is the second again (back to b) or the first
+    again (c is an end of it); the two exclude each other.
+    """
+    a_type = edges.select(P, F.col("id").alias("eid"), F.col("subject_id").alias("a"), F.col("s_type").alias("a_type")).unionByName(edges.where("subject_id <> object_id").select(P, F.col("id").alias("eid"), F.col("object_id").alias("a"), F.col("o_type").alias("a_type")))
+    first = space.cut(one.join(a_type, [P, "eid", "a"]).groupBy(P, "a", "a_type", "b", F.col("b_type").alias("m1"), F.col("predicate").alias("p1")).agg(F.count("*").alias("n")))
+    second = sym.groupBy(P, F.col("a").alias("b"), F.col("b").alias("c"), F.col("predicate").alias("p2"), F.col("b_type").alias("m2")).agg(F.count("*").alias("m"))
+    onward = sym.groupBy(P, F.col("a").alias("c"), F.col("predicate").alias("p3"), F.col("b_type").alias("group_type")).agg(F.count("*").alias("k"))
+    key = ["p1", "m1", "p2", "m2"]
+    there = first.groupBy(P, "b", "p1", "m1").agg(F.sum("n").alias("n")).join(second, [P, "b"]).groupBy(P, "c", *key).agg(F.sum(F.expr("n * m")).alias("w"))
+    returned = first.groupBy(P, F.col("a").alias("c"), "p1", "m1", F.col("p1").alias("p2"), F.col("a_type").alias("m2")).agg((-F.sum("n")).alias("w"))
+    two = space.cut(there.unionByName(returned).groupBy(P, "c", *key).agg(F.sum("w").alias("w")).where("w > 0"))
+    walks = two.join(onward, [P, "c"]).groupBy(*key, "p3", "group_type").agg(F.sum(F.expr("w * k")).alias("examples"))
+    again2 = two.groupBy(*key, F.col("p2").alias("p3"), F.col("m1").alias("group_type")).agg((-F.sum("w")).alias("examples"))
+    ends = first.withColumn("c", F.explode(F.array_distinct(F.array("a", "b"))))  # of the first edge
+    both = ends.join(second, [P, "b", "c"]).withColumn("pairs", F.expr("n * m - CASE WHEN p1 = p2 AND c = a THEN n ELSE 0 END"))
+    again1 = both.groupBy(*key, F.col("p1").alias("p3"), F.expr("CASE WHEN c = a THEN m1 ELSE a_type END").alias("group_type")).agg((-F.sum("pairs")).alias("examples"))
+    total = walks.unionByName(again2).unionByName(again1).groupBy(*key, "p3", "group_type").agg(F.sum("examples").alias("examples")).where("examples > 0")
+    return total.select("group_type", F.array("p3", "p2", "p1").alias("predicates"), F.array("m2", "m1").alias("intermediate_types"), F.lit(3).alias("hops"), "examples")
 
 
 def reverse_impact(edges: DataFrame, start: DataFrame, depth: int = 2) -> DataFrame:

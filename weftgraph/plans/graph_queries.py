@@ -488,6 +488,12 @@ def d6_signatures(spark, d):
     return E.signatures(_edges(spark, d), start)
 
 
+@query()
+def d6_signatures_3hop(spark, d):
+    start = M.live(_graph(spark, d).entities).where("type = 'DataStore'").select(P, F.col("id").alias("a"))
+    return E.signatures(_edges(spark, d), start, hops=3)
+
+
 @query(f"WITH {_E}, {_A} SELECT 'type' AS what, type AS value FROM e WHERE type IS NOT NULL GROUP BY ALL UNION ALL SELECT 'predicate', predicate FROM a WHERE predicate IS NOT NULL GROUP BY ALL UNION ALL SELECT 'dataset', dataset FROM e WHERE dataset IS NOT NULL GROUP BY ALL")
 def d7_catalog(spark, d):
     g = _graph(spark, d)
