@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import os
 import random
+import re
 
 import numpy as np
 import pytest
@@ -11,7 +13,7 @@ from weftgraph.llm import codefiles, leaks, matching, personal
 from weftgraph.llm.boosting import Boosted
 from weftgraph.llm.cutting import cut_items, pieces
 from weftgraph.llm.grouping import components, consolidate
-from weftgraph.llm.personal_seeds import GIVEN_NAMES, labelled_sample
+from weftgraph.llm.personal_seeds import GIVEN_NAMES, frames
 from weftgraph.llm.tokens import DEFAULT_VOCABULARY, Encoder, encode_documents
 from weftgraph.runtime import Workspace
 
@@ -247,31 +249,66 @@ def test_pointing_entities(spark):
 
 @pytest.fixture(scope="module")
 def fitted():
-    return personal.models()
+    return personal.fit_detector()
 
 
-def test_personal_held_out_accuracy(fitted):
-    hit = miss = extra = 0
-    for text, marks in labelled_sample(rounds=4, seed=1234):
-        got = {(k, s, e) for s, e, k in personal.spans([text], fitted)[0]}
-        hit, miss, extra = hit + len(got & marks), miss + len(marks - got), extra + len(got - marks)
-    assert hit / (hit + miss) > 0.95 and hit / (hit + extra) > 0.95
+def test_no_frame_is_taken_from_the_corpus():
+    """No fragment of twelve characters or more of the labelled sample occurs in the documents."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.exists(f"{folder}/documents.parquet"):
+        pytest.skip("no corpus here")
+    import pyarrow.parquet as pq
 
+    corpus = "\n".join(t for t in pq.read_table(f"{folder}/documents.parquet", columns=["text"])["text"].to_pylist() if t).lower()
+    fragments = {part.strip() for f in frames() for part in re.split(r"<\w+>|\n|\t", f)}
+    assert [x for x in fragments if len(x) >= 12 and x.lower() in corpus] == []
 
-@pytest.mark.parametrize("name", ["Bartholomew Quigley", "Thandeka Mbeki", "Siobhan O'Brien", "Nguyen Thi Lan", "Rashid bin Karim", "Okafor, Chinedu", "HALVORSEN Sigrid", "Aoife J. Kavanagh", "ludmila hrabova"])
-def test_personal_names_outside_the_list(fitted, name):
-    """No given name is listed: its context alone makes it a name."""
-    assert not set(name.replace(",", "").split()) & set(GIVEN_NAMES)
-    for before, after in (("Signed off by ", "."), ("We owe ", " an answer."), ("Frau ", " hat die Zahlen geprüft."), ("Attendees: the graph team and ", "\n")):
-        text = before + name + after
-        assert [(text[s:e], k) for s, e, k in personal.spans([text], fitted)[0]] == [(name, "person_name")]
+
+_GIVEN = "Bartholomew Thandeka Siobhan Rashid Aoife Ludmila Tarquin Ebba Nadezhda Kwabena Ismael Oluwaseun Marguerite Fergus Takumi Anneliese Radovan Svenja Amadou Yolanda Gwendolyn Hakim Lourdes Caspian Ottoline Zdenka".split()
+_FAMILY = "Quigley Mbeki Halvorsen Karimi Okonkwo Hrabova Featherstone Lindqvist Castellanos Abubakar Vandermeer Brzezicki Tamura Oyelaran Delacroix Pfeiffer Grigoryan Winterbourne Sorensen Kapoor".split()
+_SENTENCES = ("The draft was written by {}.", "Ms {} left early.", "Dr. {} sent the results.", "approver: {}", "{}: fine with me", "Yesterday {} fixed the roof.", "I spoke with {} on Friday.", "Frau {} kommt heute nicht.", "Merci à {} pour tout.", '"reviewer": "{}",', "| editor | {} | yes |", "A note from {} arrived.", "Regards,\n{}")
+
+
+def test_personal_names_outside_any_list(fitted):
+    assert not {*_GIVEN, *_FAMILY} & set(GIVEN_NAMES)
+    texts = [(f"{g} {f}", _SENTENCES[k % len(_SENTENCES)].format(f"{g} {f}")) for k, (g, f) in enumerate((g, f) for g in _GIVEN for f in _FAMILY)][:500]
+    found = personal.spans([t for _, t in texts], fitted)
+    hit = sum(any(k == "person_name" and t[s:e] == name for s, e, k in f) for (name, t), f in zip(texts, found, strict=True))
+    extra = sum(any(k != "person_name" or t[s:e] != name for s, e, k in f) for (name, t), f in zip(texts, found, strict=True))
+    assert hit >= 450 and extra <= 25
+
+
+def test_personal_held_out_values(fitted):
+    cases = [
+        ("My direct line is {}.", "phone", ["+1 202 555 0143", "(0711) 998 233", "06 12 34 56 78", "0161 496 0345"]), ("hotline: {}", "phone", ["+44 1632 960 983", "555-867-5309", "0049 89 636 48018"]),
+        ("Passport {} was stolen.", "identity_number", ["AB1234567", "123-45-6789", "12345678Z"]), ("national insurance number: {}", "identity_number", ["JK 12 34 56 C", "98 765 432 109"]),
+        ("We moved to {}.", "street_address", ["221 Maple Street, Springfield", "14 rue Victor, 75004 Paris", "Lindenstraße 9, 10969 Berlin", "Calle Mayor 5, 28013 Madrid"]),
+        ("Contact {} for access.", "email", ["jo.bloggs@mail.example.com", "info(at)firma.de", "ann_b @ school.edu", "X-Y+z@a-b.co.uk"]),
+    ]
+    made = [(frame.format(v), v, kind) for frame, kind, values in cases for v in values]
+    right = sum([(t[s:e], k) for s, e, k in found] == [(v, kind)] for (t, v, kind), found in zip(made, personal.spans([t for t, _, _ in made], fitted), strict=True))
+    assert right >= 0.9 * len(made)
+
+
+def test_personal_thresholds_are_calibrated(fitted):
+    p, y = np.array([0.1, 0.3, 0.35, 0.6, 0.9]), np.array([0, 0, 1, 1, 1.0])
+    assert 0.3 < personal._calibrated(p, y) <= 0.35
+    assert set(fitted.thresholds) == set(personal.KINDS) and all(0.2 <= t <= 0.8 for t in fitted.thresholds.values())
 
 
 def test_personal_unlike_names(fitted):
-    for text in ("Thanks to Fodazil Router for the patch.", "Signed off by Graph Core.", "The Park Avenue cluster fails.", "According to the second run, it works.", "Der Dienst Libilize Balancer läuft.", "Unlike Nitofodor Mirror, it stays."):
+    for text in ("The delay is due to Fodazil Router.", "Thanks to Graph Core, it works.", "The Park Avenue cluster fails.", "According to the second run, it works.", "Der Dienst Libilize Balancer läuft.", "Unlike Nitofodor Mirror, it stays.", "Put @cache.memoize above it and pin tool@3.2.1."):
         assert personal.spans([text], fitted)[0] == []
 
 
+def test_long_values_are_not_cut(fitted):
+    email = "a" * 300 + "." + "b" * 200 + "@" + "c" * 60 + "." + "d" * 60 + ".example.org"
+    road = "12 Llanfairpwllgwyngyllgogerychwyrndrobwll Upper Crescent, Apt 14B, Gorsafawddachaidraigodanheddogleddolon 20841"
+    for value, kind in ((email, "email"), (road, "street_address")):
+        text = f"Address: {value}\n"
+        assert [(text[s:e], k) for s, e, k in personal.spans([text], fitted)[0]] == [(value, kind)]
+
+
 def test_personal_redaction(spark):
     text = "Write to ruth.tose@example.org or call +44 20 7946 0056.\r\nThe clerk typed QQ 07 51 10 C into the SSN field. She moved to 12 Baker Street, Pevoton in spring.\nSigned off by Hugo von Tose. Firmware 01.99.00.13 and schema 020-7986 are obsolete."
     df = spark.createDataFrame([(1, text, "v"), (2, None, "v"), (3, "", "v"), (None, "x", "v"), (1, text, "v")], "doc_id long, text string, value string")
