@@ -19,8 +19,9 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
+from operator import methodcaller
 
 import numpy as np
 import pyarrow as pa
@@ -65,9 +66,12 @@ _INITIAL = re.compile(rf"(?:[{_U}]\.[  ]){{1,2}}(?:{_PART}[  ])?[{_U}][{_L}]+(?:
 _NAME_WORD = re.compile(rf"[{_U}](?<![{_A}0-9@._-].)(?:\.(?=[  ])|(?:(?:(?:(?<=M)a?c|(?<=[OD])['’])[{_U}])?[{_L}]+|[{_U}]+)(?:-(?:[{_U}][{_L}'’]+|[{_U}]{{2,}}))*(?![{_A}0-9@_]|\.[a-z]|-\d))")
 _GAP = re.compile(rf",?[  ](?:{_PART}[  ])?")
 _LEADING = re.compile(rf"(?<![{_A}0-9@._-])(?:{_PART})[  ]$")
-#: Names in small letters are proposed only right after a cue.
-_LOWER = re.compile(rf"(?:\.|\"|'|\*)*[  ]*[:=|：]?[  ]*[\"'*]*(?<![{_A}])([{_L}'’]{{2,}}(?:[  ]{_PART})?[  ][{_L}'’]{{2,}}(?:-[{_L}]{{2,}})?)(?![{_A}0-9@_(]|\.[a-z]|-\d)")
-_LOWER_LINE = re.compile(rf"^[  >*|\-]*(?:\[[ xX]?\] )?([{_L}'’]{{2,}}(?:[  ]{_PART})?[  ][{_L}'’]{{2,}}(?:-[{_L}]{{2,}})?)(?![{_A}0-9@_(]|\.[a-z]|-\d)", re.MULTILINE)
+#: Names in small letters are proposed only at the beginning of a line or right after a cue.
+_PAIR = re.compile(rf"(?<![{_A}0-9@._-])([{_L}'’]{{2,}}(?:[  ]{_PART})?[  ][{_L}'’]{{2,}}(?:-[{_L}]{{2,}})?)(?![{_A}0-9@_(]|\.[a-z]|-\d)")
+_CUE_BEFORE = re.compile(rf"([{_A}]+|[\u3040-\u9fff]+)[.\"'*  :=|：]*$")
+_CUE_WORDS = {*LOWER_CUES, *FUNCTION_WORDS}
+_MARKS = ".,;:!?\"'()[]{}|*<>`…。、"
+_strip = methodcaller("strip", _MARKS)
 _LABELS = {"ID", "NR", "NO", "TEL", "SSN", "FAX", "NIF", "DNI"}
 _DIGIT = re.compile(r"\d")
 _DATE = re.compile(r"(?:19|20)\d\d-[01]\d(?:-[0-3]\d)?")
@@ -75,19 +79,16 @@ _DATE = re.compile(r"(?:19|20)\d\d-[01]\d(?:-[0-3]\d)?")
 
 @lru_cache(maxsize=1)
 def _automaton():
-    """One pass over a text finds cues of names, road words and marks of addresses."""
+    """One pass over a text finds road words and marks of addresses."""
     import ahocorasick
 
     a = ahocorasick.Automaton()
-    for cue in {*LOWER_CUES, *FUNCTION_WORDS}:
-        for form in {cue, cue.capitalize()}:
-            a.add_word(form, ("c", len(form)))
     for mark in ("@", "(at)", "[at]"):
         a.add_word(mark, ("@", len(mark)))
     roads: dict[str, list[int]] = {}
     for words, pattern in zip(ROADS.values(), (0, 1, 2, 3, 3), strict=True):
         for w in words:
-            for form in {w, w.lower(), w.capitalize()}:
+            for form in {w, w.capitalize(), w.lower() if len(w) > 3 else w}:
                 roads.setdefault(form, []).append(pattern)
     for form, patterns in roads.items():
         a.add_word(form, (tuple(patterns), len(form)))
@@ -95,17 +96,17 @@ def _automaton():
     return a
 
 
-def candidates(text: str, words: Words) -> list[tuple[str, int, int]]:
+def word_counts(text: str) -> Counter:
+    """How often each word of the text occurs, as it is written."""
+    return Counter(map(_strip, text.split()))
+
+
+def candidates(text: str, words: Words, counts: Counter) -> list[tuple[str, int, int]]:
     """``(generator, start, end)`` of all spans that may be personal; they may overlap."""
     found: set[tuple[str, int, int]] = set()
     for end, (kind, size) in _automaton().iter(text):
         at, end = end + 1 - size, end + 1
-        if kind == "c":
-            if not text[at - 1 : at].isalpha() and not text[end : end + 1].isalpha() and (m := _LOWER.match(text, end)):
-                first, *_, last = m[1].split()
-                if not words.everyday(first) and not words.everyday(last):
-                    found.add(("name", *m.span(1)))
-        elif kind == "@":
+        if kind == "@":
             start = at - 1 if text[at - 1 : at] == " " else at
             while start and _LOCAL.match(text[start - 1]):
                 start -= 1
@@ -138,18 +139,31 @@ def candidates(text: str, words: Words) -> list[tuple[str, int, int]]:
     for m in _INITIAL.finditer(text):
         if not _BEFORE.match(text[m.start() - 1 : m.start()] or " "):
             found.add(("name", m.start(), m.end()))
-    for m in _LOWER_LINE.finditer(text):
-        first, *_, last = m[1].split()
-        if not words.everyday(first) and not words.everyday(last):
-            found.add(("name", *m.span(1)))
+    found |= {("name", at, end) for at, end in _small_names(text, words, counts)}
     found |= {("name", at, end) for at, end in _runs(text)}
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
+def _small_names(text: str, words: Words, counts: Counter) -> Iterator[tuple[int, int]]:
+    """Two words in small letters, neither an everyday one, at the beginning of a line or after a cue."""
+    rare = {w for w in counts if w.islower() and len(w) > 1 and not words.everyday(w)}
+    for first in rare:
+        at = text.find(first)
+        while at >= 0:
+            if (m := _PAIR.match(text, at)) and m[1].startswith(first + m[1][len(first)]) and m[1].split()[-1] in rare:
+                line = text[max(text.rfind("\n", 0, at), text.rfind("\r", 0, at), at - 40) + 1 : at]
+                before = _CUE_BEFORE.search(line)
+                if not line.strip(" >*|-[]xX\xa0") or before and before[1].lower() in _CUE_WORDS:
+                    yield m.span(1)
+            at = text.find(first, at + 1)
+
+
 def _runs(text: str) -> Iterator[tuple[int, int]]:
     """Any two to four capitalised words in a row, with particles and initials, or ``Surname, Given``."""
     words = list(_NAME_WORD.finditer(text))
     for i, first in enumerate(words):
+        if first[0].lower() in FUNCTION_WORDS:  # no name begins with one
+            continue
         full, comma = int(first[0][-1] != "."), False
         for j in range(i + 1, min(i + 4, len(words))):
             gap = text[words[j - 1].end() : words[j].start()]
@@ -169,20 +183,33 @@ _CUE = {k: re.compile(v, re.IGNORECASE) for k, v in CUES.items()}
 _GIVEN = {n.lower() for n in GIVEN_NAMES}
 _ENDS = tuple(sorted(SURNAME_ENDINGS, key=len))
 _LETTERS = re.compile(rf"[{_A}]+")
-_SMALL = re.compile(rf"(?<![{_A}])[{_L}]{{3,}}")
+_DIGIT_BELOW = re.compile(r"[^\S\n]*\r?\n.{0,40}\d")
 _NOUN_ENDS = ("ere", "eren", "erer", "ige", "igen", "liche", "lichen", "ischen", "ung", "ungen", "heit", "keit", "schaft", "tion", "tät", "nis", "ismus", "lich", "ische", "ment", "ness", "ción", "dad")
-_PREVIOUS = re.compile(rf"([{_A}]+)(\.?)(?:[  ]|[  ]?\r?\n)$")
 _LABEL_BEFORE = re.compile(rf"([{_A}]+|[\u3040-\u9fff]+)[\"'*]{{0,3}}\s*[:=|：\t]\s*[\"'*]{{0,3}}$")
-_PUBLIC_BEFORE, _NEXT = re.compile(rf"[{_U}][{_A}]*[  ]$"), re.compile(rf"[  ]([{_A}]+)")
+_NEXT = re.compile(rf"[  ]([{_A}]+)")
 _AGENTS, _RECEIVERS = {"by", "von", "durch", "par", "por", "da"}, {"to", "from", "with", "except", "an", "à", "a", "de", "thanks", "owe", "of"}
 
 
+def _previous(before: str) -> str:
+    """The word right before, on the same line or the one above; none if a sentence ended there."""
+    if before[-1:] not in (" ", "\xa0", "\n"):
+        return ""
+    own = before[:-2] if before[-2:] in ("\r\n", " \n") else before[:-1]
+    dotted = own[-1:] == "."
+    own = own[:-1] if dotted else own
+    at = len(own)
+    while at and own[at - 1].isalpha():
+        at -= 1
+    return own[at:] if not dotted or own[at:].lower() in TITLES else ""
+
+
 @dataclass(frozen=True)
 class Words:
     """Which words are everyday ones: whole words of public vocabularies in small letters."""
 
     small: frozenset[str]
     capital: frozenset[str]
+    seen: dict[str, bool] = field(default_factory=dict, compare=False, repr=False)
 
     @staticmethod
     def read(vocabularies: Sequence[str]) -> Words:
@@ -201,7 +228,15 @@ class Words:
         return Words(frozenset(small), frozenset(capital))
 
     def everyday(self, w: str) -> bool:
-        """In the vocabulary, or made from a word there: plural, or an agent in -er or -or."""
+        """In the vocabulary, or made from a word there: plural, or an agent in -er or -or; some are remembered."""
+        known = self.seen.get(w)
+        if known is None:
+            known = self._everyday(w)
+            if len(self.seen) < 200_000:
+                self.seen[w] = known
+        return known
+
+    def _everyday(self, w: str) -> bool:
         if w in self.small or w in FUNCTION_WORDS:
             return True
         if w.endswith("s") and w[:-1] in self.small:
@@ -215,11 +250,12 @@ class Words:
 
 def _around(text: str, start: int, end: int) -> tuple[str, str, str, str]:
     before, after = text[max(0, start - 45) : start], text[end : end + 40]
-    return before, after, re.split(r"[\r\n]", before)[-1], re.split(r"[\r\n]", after)[0]
+    ends = [k for k in (after.find("\n"), after.find("\r")) if k >= 0]
+    return before, after, before[max(before.rfind("\n"), before.rfind("\r")) + 1 :], after[: min(ends, default=len(after))]
 
 
 def _alone(line_before: str, line_after: str) -> list[float]:
-    return [float(not line_before.strip(" -*>|#\"'`[]()")), float(not line_after.strip(" -*|\"'`,.)]}")), float(bool(re.match(r"\s*\|", line_after))), float(bool(re.search(r"[=:\t|：]\s*[\"'<]?$", line_before)))]
+    return [float(not line_before.strip(" -*>|#\"'`[]()")), float(not line_after.strip(" -*|\"'`,.)]}")), float(line_after.lstrip()[:1] == "|"), float(line_before.rstrip().rstrip("\"'<").rstrip()[-1:] in ("=", ":", "|", "：") or line_before[-1:] == "\t")]
 
 
 def value_features(text: str, start: int, end: int) -> list[float]:
@@ -245,7 +281,7 @@ def value_features(text: str, start: int, end: int) -> list[float]:
 def name_features(text: str, start: int, end: int, words: Words, small: Counter) -> list[float]:
     """Form of a name, whether its words are everyday ones, and what stands next to it.
 
-    ``small`` counts the words the text has in small letters.
+    ``small`` counts the words of the text.
     """
     s = text[start:end]
     before, after, line_before, line_after = _around(text, start, end)
@@ -255,8 +291,10 @@ def name_features(text: str, start: int, end: int, words: Words, small: Counter)
     own_use = int(s.islower())
     daily = [words.everyday(w) or small[w] > own_use for w in low]
     proper = [w.capitalize() in words.capital and w not in words.small for w in low]
-    previous, following, label = _PREVIOUS.search(before), _NEXT.match(line_after), _LABEL_BEFORE.search(line_before)
-    p, q, lab = previous[1] if previous and (not previous[2] or previous[1].lower() in TITLES) else "", following[1] if following else "", label[1].lower() if label else ""
+    following = _NEXT.match(line_after)
+    p, q, lab = _previous(before), following[1] if following else "", ""
+    if line_before.rstrip(" \xa0\"'*")[-1:] in (":", "=", "|", "：", "\t") and (label := _LABEL_BEFORE.search(line_before)):
+        lab = label[1].lower()
     pl = p.lower()
     line = line_before + s + line_after
     return [
@@ -265,7 +303,7 @@ def name_features(text: str, start: int, end: int, words: Words, small: Counter)
         float(bool(proper) and proper[0]), float(bool(proper) and proper[-1]), float(bool(low) and low[0].capitalize() in words.capital), float(bool(low) and low[0] in _GIVEN), float(bool(low) and low[-1] in _GIVEN), float(any(w in _GIVEN for w in low)), float(bool(low) and low[-1].endswith(_ENDS)), float(bool(low) and low[0].endswith(_NOUN_ENDS)), float(bool(low) and low[-1].endswith(_NOUN_ENDS)),
         float(pl in TITLES), float(pl in _AGENTS), float(pl in _RECEIVERS), float(pl in ("the", "a", "der", "die", "das", "dem", "den", "le", "la", "el", "ein", "une", "un")), float(pl in FUNCTION_WORDS), float(bool(p) and p[0].isupper() and pl not in FUNCTION_WORDS and pl not in TITLES), float(bool(p) and p[0].islower()), float(bool(p) and pl in _PARTICLES),
         float(bool(q) and q[0].isupper()), float(bool(q) and q[0].islower()), float(q.endswith(("ed", "te", "ó", "é", "s", "t"))), float(q.lower() in ("and", "und", "et", "y", "or", "nor")), float(bool(q) and words.everyday(q.lower())), float(after[:1] in ("'", "’")), float(after[:1] == ":"), float(after[:1] in (".", ",", ";")), float(after[:1] in ("(", "[", "/", "_")),
-        float(lab in PERSON_LABELS), float(bool(lab) and lab not in PERSON_LABELS), float(bool(re.match(r"[^\S\n]*\r?\n.{0,40}\d", after))), float(line_before.lstrip(" >").startswith("#")), float(line.isupper()), float(bool(re.search(r"[\u3040-\u9fff]", before[-2:]))), float(bool(re.search(r"[\u3040-\u9fff]", after[:2]))),
+        float(lab in PERSON_LABELS), float(bool(lab) and lab not in PERSON_LABELS), float(bool(_DIGIT_BELOW.match(after))), float(line_before.lstrip(" >").startswith("#")), float(line.isupper()), float(any("\u3040" <= c <= "\u9fff" for c in before[-2:])), float(any("\u3040" <= c <= "\u9fff" for c in after[:2])),
         float(before[-2:] in (". ", "! ", "? ", ".\n")), *_alone(line_before, line_after),
     ]
 
@@ -280,12 +318,10 @@ class Detector:
 
     def propose(self, text: str) -> Iterator[tuple[str, int, int, list[float]]]:
         """``(kind, start, end, features)`` of all candidates."""
-        small: Counter | None = None
-        for generator, start, end in candidates(text, self.words):
+        counts = word_counts(text)
+        for generator, start, end in candidates(text, self.words, counts):
             if generator == "name":
-                if small is None:
-                    small = Counter(_SMALL.findall(text))
-                yield "person_name", start, end, name_features(text, start, end, self.words, small)
+                yield "person_name", start, end, name_features(text, start, end, self.words, counts)
             else:
                 x = value_features(text, start, end)
                 for kind in _GENERATORS[generator]:
