@@ -13,15 +13,18 @@ from pyspark.sql import functions as F
 
 
 def first_wins(df: DataFrame, key: Sequence[str], order: Sequence[str], last: bool = False) -> DataFrame:
-    """One row per key: the first by ``order`` (nulls first), ties by the other columns.
+    """One row per key: the first by ``order`` (nulls first), or the last.
 
-    A combining aggregation, so a key with very many rows is reduced before the exchange.
-    Columns must be orderable, which maps are not.
+    Of rows that tie in ``order`` each column takes its least (or greatest) value, so the result
+    is the same on every run.  Each column is an aggregate of its own, so a query that needs
+    three columns scans and exchanges those and ``order`` only; rows of a key are combined
+    before the exchange, so a hot key does no harm.  Columns must be orderable, which maps are not.
     """
-    rest = [c for c in df.columns if c not in key and c not in order]
-    whole = F.struct(*order, *rest)
-    best = df.groupBy(*key).agg((F.max if last else F.min)(whole).alias("_row"))
-    return best.select(*[F.col(c) if c in key else F.col(f"_row.`{c}`").alias(c) for c in df.columns])
+    pick = F.max if last else F.min
+    keys = [F.col(f"`{c}`") for c in key]
+    own = [c for c in df.columns if c not in key]
+    best = df.groupBy(*keys).agg(*[pick(F.struct(*[F.col(f"`{o}`").alias(f"_{k}") for k, o in enumerate(order)], F.col(f"`{c}`").alias("_own")))["_own"].alias(c) for c in own])
+    return best.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
 def merge_graphs(parts: Sequence[DataFrame], key: Sequence[str] = ("project_slug", "id"), order: Sequence[str] = ("ord",)) -> DataFrame:
