@@ -279,7 +279,7 @@ HAND = "import json\n\n\ndef load(path):\n    with open(path) as f:\n        ret
         ("a/b.py", [HAND], None), ("a/b.py", ["# Code generated by tool 3. DO NOT EDIT.\n" + HAND], "generated"), ("a/b.py", ["# Copyright us\n# @generated from x\n", HAND], "generated"),
         ("a/b.py", ["# This module generates code and is itself written by hand.\n" + HAND], None), ("a/b.py", [HAND + 'HEADER = "# Code generated by us. DO NOT EDIT."\n'], None), ("a/node_modules/x/y.js", [HAND], "vendored"), ("external_partners/y.js", [HAND], None),
         ("a/b.go", ["// Copied from foo 1.2 upstream, local changes: none\n" + HAND], "vendored"), ("w/app.js", ["!function(u){for(var j=0;j<u.length;j++)u[j].j(q)}(this);" * 30], "minified"), ("w/app.js", ["// " + "some words of prose " * 40 + "\n" + HAND], None),
-        ("a/t.py", ["T = [\n" + "  [0.123, 0.456, 0.789],\n" * 40 + "]\n"], "data"), ("a/t.ts", ['export const x = "' + "QUJDREVGR0g+" * 60 + '"'], "data"), ("a/b_pb2.py", [HAND], "generated"), ("a/empty.py", [], None), ("a/b.py", [""], None),
+        ("a/b.ts", ["".join(f'export const A{k} = make("x{k}", {k});\n' for k in range(30))], "generated"), ("a/b.sql", ["-- note\n" * 4 + "-- built by hand, do not edit the order of these steps\nselect 1\n"], None), ("a/b.sql", ["-- x\n" * 400 + "-- Do not edit!\nselect 1\n"], "generated"), ("a/t.py", ["T = [\n" + "  [0.123, 0.456, 0.789],\n" * 40 + "]\n"], "data"), ("a/t.ts", ['export const x = "' + "QUJDREVGR0g+" * 60 + '"'], "data"), ("a/b_pb2.py", [HAND], "generated"), ("a/empty.py", [], None), ("a/b.py", [""], None),
     ],
 )
 def test_code_files(spark, path, texts, kind):
@@ -287,6 +287,11 @@ def test_code_files(spark, path, texts, kind):
     assert rows(got, "id", "kind") == ([("S0", kind)] if kind else [])
 
 
+def test_code_files_by_layout_alone(spark):
+    got = codefiles.code_files(*code(spark, ("a/vendor/x.py", [HAND]), ("a/y.js", ["!function(u){for(var j=0;j<u.length;j++)u[j].j(q)}(this);" * 30])), marks=False)
+    assert rows(got, "id", "kind") == [("S1", "minified")]
+
+
 def test_pointing_entities(spark):
     s, sp = code(spark, ("a/vendor/x.py", [HAND]), ("a/y.py", [HAND]))
     e = spark.createDataFrame([("p", "1", "./a\\vendor\\x.py#L3"), ("p", "2", "a/y.py"), ("q", "3", "a/vendor/x.py"), ("p", "4", None), ("p", "1", "a/vendor//x.py")], "project_slug string, id string, source_path string")

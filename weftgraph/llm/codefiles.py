@@ -1,10 +1,12 @@
 """Generated, minified or vendored source files, and data saved as code.
 
 Method: layout statistics against thresholds tuned per language.  Of each span the number
-of characters and lines, the longest line and the characters in white space, letters and
-digits, numeric literals and long encoded runs are counted in the JVM; a file has their sums
-and maxima.  Layout can't tell a generated or copied file that is laid out like any other,
-so marks of origin count too: what the leading comment says, and how path and file are named.
+of characters and lines, the longest line, the lines that repeat another one's shape, and the
+characters in white space, letters and digits, numeric literals and long encoded runs are
+counted in the JVM; a file has their sums and maxima.  Layout can't tell a generated or copied
+file that is laid out like any other, so marks of origin are one more feature: what the leading
+comment says in the usual idioms of generators and licences, and how path and file are named.
+``marks=False`` leaves them out, to see what layout alone finds.
 
 Only those few numbers are exchanged, never texts, and a file's spans are summed on the map
 side: order, lost offsets, repeated spans and a file with very many spans do no harm.
@@ -28,6 +30,7 @@ class Thresholds:
     numeric: float = 0.33  # share of the visible characters in numeric literals
     encoded: float = 0.35  # share of all characters in long encoded runs
     alphanumeric: float = 0.97  # share of the visible characters, if hardly any are blank
+    repeated: float = 0.85  # share of ten lines or more whose shape another one has
     prose: float = 0.1  # long lines with fewer signs than this are prose, not code
 
 
@@ -42,17 +45,17 @@ LANGUAGES = {
 }
 OTHER = Thresholds(mean_line=150.0)
 
-#: What generators say of their product; each within the comment a file begins with.
+# Idioms by which generators and licences mark a file, within the comment it begins with.
 GENERATED = (
-    r"code generated (?:by|from)|@generated\b|<auto-?generated|auto-?generated (?:by|from|file)|automatically (?:generated|created|produced)"
-    r"|(?:machine|tool)-(?:written|generated|made)|generated (?:automatically|file)|do not (?:edit|modify)(?: this file| by hand| manually|[.!]?\s*$)"
-    r"|(?:automatisch|maschinell) (?:erzeugt|generiert|erstellt)|fichier (?:produit|généré|créé) par|(?:generado|creado) (?:automáticamente|por)|自動生成"
-    r"|output, regenerate with|regenerate (?:it )?with|this is a build product|edits (?:will be (?:lost|overwritten)|go to the template)|changes will be lost"
+    r"\b(?:code|file|source|auto|automatically|machine|tool)[- ]?(?:is |was |has been )?(?:auto|automatically |machine[- ])?(?:generated|produced|created|written|made)\b|@generated\b"
+    r"|\bgenerated (?:by|from|with|using|file|code|automatically)\b|\b(?:do not|don't|never) (?:edit|modify|change)(?: this file\b| by hand\b| manually\b|[^\w\n]*$)|\bregenerate\b|\bbuild (?:product|artifact|artefact|output)\b"
+    r"|\b(?:edits|changes|modifications)\b[^\n]{0,40}\b(?:lost|overwritten|template|generator)\b"
+    r"|\b(?:automatisch|maschinell) (?:erzeugt|generiert|erstellt)|\bnicht (?:bearbeiten|ändern|editieren)\b"
+    r"|\b(?:généré|produit|créé)e? (?:automatiquement|par)\b|\bne pas (?:modifier|éditer)\b|\b(?:generado|producido|creado) (?:automáticamente|por)\b|\bno (?:editar|modificar)\b|自動生成"
 )
-#: What copies from third parties say.
 VENDORED = (
-    r"vendored (?:snapshot|copy|from)|copied from [^\n]{0,80}(?:upstream|\d)|upstream:\s|redistribution (?:and use )?in source"
-    r"|\(c\) [^\n]{0,60}\bauthors\b|released under the (?:terms|[^\n]{0,30}licen[sc]e)|see licen[sc]e-|@license\b|third[- ]party (?:code|copy)"
+    r"\bvendored\b|\bcopied from\b[^\n]{0,80}(?:upstream|\d)|\bupstream\s*:|\bredistribution\b[^\n]{0,20}\bin source\b|\(c\) [^\n]{0,60}\bauthors\b"
+    r"|\b(?:released|licensed) under the\b|\bsee licen[sc]e\b|@license\b|\bthird[- ]party\b"
 )
 GENERATED_PATHS = r"(?:^|/)(?:generated|__generated__|autogen|gen)/|[._-](?:gen|generated|pb|g)\.[a-z]+$|_pb2(?:_grpc)?\.pyi?$"
 VENDORED_PATHS = r"(?:^|/)(?:node_modules|bower_components|vendor|_vendor|vendored|third_party|third-party|thirdparty|deps|site-packages|external/[^/]+)/"
@@ -61,7 +64,7 @@ MINIFIED_PATHS = r"[.-]min\.(?:js|css|mjs)$|(?:^|/)(?:bundle|chunk)[.-][0-9a-f]+
 #: From this length on a line's signs are counted, to tell packed code from prose.
 LONG_LINE = 250
 
-_COUNTS = ("chars", "lines", "blank", "alnum", "numeric", "encoded", "long_chars", "long_signs")
+_COUNTS = ("chars", "lines", "blank", "alnum", "numeric", "encoded", "long_chars", "long_signs", "repeated")
 
 
 def clean_path(path: Column) -> Column:
@@ -70,15 +73,18 @@ def clean_path(path: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(plain, "/{2,}", "/"), r"^(?:\./)+", "")
 
 
-def _says(text: Column, marks: str) -> Column:
-    line = r"[ \t]*(?:#|//|--|/\*+!?|\*|<!--|\"\"\")"
-    return text.rlike(rf"(?ism)\A\s*(?:{line}[^\n]*\n\s*){{0,15}}?{line}[^\n]*?(?:{marks})")
+def _header(rows: Column) -> Column:
+    """The comment and blank lines a text begins with."""
+    code = F.transform(rows, lambda x: ~x.rlike(r"^\s*(?:#|//|--|/\*|\*|<!--|\"\"\"|$)"))
+    at = F.array_position(code, F.lit(True)).cast("int")
+    return F.array_join(F.when(at > 0, F.slice(rows, 1, F.greatest(at - 1, F.lit(0)))).otherwise(rows), "\n")
 
 
 def _statistics(text: Column) -> list[Column]:
     without = lambda pattern: F.length(text) - F.length(F.regexp_replace(text, pattern, ""))
     rows = F.split(text, r"\r\n|\r|\n")
     lengths = F.transform(rows, lambda x: F.length(x))
+    header, shapes = _header(rows), F.transform(F.filter(rows, lambda x: F.length(x) > 0), lambda x: F.regexp_replace(F.regexp_replace(x, "[A-Za-z_]+", "a"), "[0-9]+", "0"))
     long = F.array_join(F.filter(rows, lambda x: F.length(x) >= LONG_LINE), "")
     return [
         F.length(text).cast("long").alias("chars"),
@@ -90,8 +96,9 @@ def _statistics(text: Column) -> list[Column]:
         F.length(long).cast("long").alias("long_chars"),
         (F.length(long) - F.length(F.regexp_replace(long, r"[^\w\s]", ""))).cast("long").alias("long_signs"),
         F.coalesce(F.array_max(lengths), F.lit(0)).cast("long").alias("max_line"),
-        _says(text, GENERATED).alias("says_generated"),
-        _says(text, VENDORED).alias("says_vendored"),
+        (F.size(shapes) - F.size(F.array_distinct(shapes))).cast("long").alias("repeated"),
+        header.rlike(f"(?im){GENERATED}").alias("says_generated"),
+        header.rlike(f"(?im){VENDORED}").alias("says_vendored"),
         text.rlike(r"sourceMappingURL=").alias("says_minified"),
     ]
 
@@ -103,7 +110,7 @@ def _by_language(name: str) -> Column:
     return value
 
 
-def code_files(sources: DataFrame, spans: DataFrame) -> DataFrame:
+def code_files(sources: DataFrame, spans: DataFrame, marks: bool = True) -> DataFrame:
     """``(project_slug, id, path, kind)`` of each code file that isn't hand-written.
 
     kind is 'vendored', 'generated', 'minified' or 'data', the first that holds.  A file is
@@ -119,9 +126,9 @@ def code_files(sources: DataFrame, spans: DataFrame) -> DataFrame:
         F.coalesce("id", F.xxhash64("text").cast("string")).alias("span"),
         *_statistics(F.col("text")),
     )
-    marks = ("max_line", "says_generated", "says_vendored", "says_minified")
-    once = own.groupBy("project", "key", "span").agg(*[F.max(c).alias(c) for c in (*_COUNTS, *marks)])
-    total = once.groupBy("project", "key").agg(*[F.sum(c).alias(c) for c in _COUNTS], *[F.max(c).alias(c) for c in marks])
+    maxima = ("max_line", "says_generated", "says_vendored", "says_minified")
+    once = own.groupBy("project", "key", "span").agg(*[F.max(c).alias(c) for c in (*_COUNTS, *maxima)])
+    total = once.groupBy("project", "key").agg(*[F.sum(c).alias(c) for c in _COUNTS], *[F.max(c).alias(c) for c in maxima])
 
     f = files.join(total, ["project", "key"], "left").withColumn("language", F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)))
     path, visible = F.lower("path"), F.col("chars") - F.col("blank")
@@ -132,11 +139,14 @@ def code_files(sources: DataFrame, spans: DataFrame) -> DataFrame:
     packed = share("blank", "chars") <= 0.03
     data = data | (packed & (share("alnum", visible) >= _by_language("alphanumeric"))) | (dense & F.col("language").isin("py", "go", "sql"))
     yes = lambda c: F.coalesce(c, F.lit(False))
+    uniform = (F.col("lines") >= 10) & (share("repeated", "lines") >= _by_language("repeated"))
+    said = lambda c: yes(c) if marks else F.lit(False)
     kind = (
-        F.when(yes(F.col("says_vendored") | path.rlike(VENDORED_PATHS)), "vendored")
-        .when(yes(F.col("says_generated")) | yes(path.rlike(GENERATED_PATHS)), "generated")
+        F.when(said(F.col("says_vendored") | path.rlike(VENDORED_PATHS)), "vendored")
+        .when(said(F.col("says_generated")) | said(path.rlike(GENERATED_PATHS)), "generated")
         .when(yes(data), "data")
-        .when(yes(dense) | yes(F.col("says_minified")) | yes(path.rlike(MINIFIED_PATHS)), "minified")
+        .when(yes(dense) | said(F.col("says_minified")) | said(path.rlike(MINIFIED_PATHS)), "minified")
+        .when(yes(uniform), "generated")
     )
     return f.select("project_slug", "id", "path", kind.alias("kind")).where("kind is not null")
 
