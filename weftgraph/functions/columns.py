@@ -87,7 +87,7 @@ def is_meaningful(p: str = "") -> Column:
     name = F.trim(F.coalesce(f"{p}name", F.lit("")))
     low = F.lower(name)
     constant = (F.upper(name) == name) & (low != name) & name.contains("_")
-    good = (name != "") & ~low.isin(GENERIC_NAMES) & ~is_test(p) & ~low.rlike("^(oe:|entity_)") & ~constant & (F.length(name) <= 80)
+    good = (name != "") & ~low.isin(*GENERIC_NAMES) & ~is_test(p) & ~low.rlike("^(oe:|entity_)") & ~constant & (F.length(name) <= 80)
     good = good & (F.size(F.filter(F.split(name, r"\s+"), lambda w: w != "")) <= 8) & ~name.endswith(".")
     return (layer(p) == "data") | good
 

@@ -5,14 +5,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.columns import artifact_path, is_opaque, layer, public_type, stable_id, truncate
+from weftgraph.functions.columns import artifact_path, is_opaque, is_test, layer, or_else, public_type, stable_id, truncate
+from weftgraph.model import HOTSPOT_TYPES
+from weftgraph.operators.edges import degrees
 from weftgraph.operators.merge import changed_rows
 
 P = "project_slug"
 TEXT_LIMIT, NAMES, REPRESENTATIVES = 6000, 40, 8
+# Entities and document chunks of a project, edges of an entity, pieces of evidence and their length.
+ENTITY_LIMIT, DOCUMENT_LIMIT, EDGES, EVIDENCE, EVIDENCE_LENGTH = 200, 1500, 20, 8, 500
 
 
 def windows(text: str, most: int) -> list[tuple[int, int]]:
@@ -102,6 +106,54 @@ def document_chunks(sources: DataFrame, spans: DataFrame, chunks: DataFrame, ent
     return joined.select(P, "chunk_id", "entity_id", "source_path", "ordinal", F.length("text").alias("chars"))
 
 
+def entity_chunks(entities: DataFrame, assertions: DataFrame, spans: DataFrame, limit: int = ENTITY_LIMIT) -> DataFrame:
+    """A chunk for each project's best connected components: what they are, their edges and evidence.
+
+    Of a component the first ``EDGES`` assertions by id, and ``EVIDENCE`` texts: theirs, then
+    those of its spans in the order of their ids.  Everything is cut by a group limit before it
+    is collected.  Of components with one name in a project the last (least connected) stays.
+    """
+    empty = F.array().cast("array<string>")
+    wanted = entities.where((layer() == "repo") & F.col("type").isin(*HOTSPOT_TYPES) & ~is_test()).join(degrees(assertions).select(P, "id", "degree"), [P, "id"], "left")
+    by_degree = Window.partitionBy(P).orderBy(F.desc("degree"), "id")
+    picked = wanted.withColumn("degree", F.coalesce("degree", F.lit(0))).withColumn("_r", F.row_number().over(by_degree)).where(F.col("_r") <= limit)
+    picked = picked.withColumn("_n", F.row_number().over(Window.partitionBy(P, "name").orderBy(F.desc("_r")))).where("_n = 1")
+    picked = picked.select(P, "id", "name", or_else("mapped_type", F.col("type")).alias("kind_of"), "description", F.coalesce("source_span_ids", empty).alias("own_spans"), "degree")
+
+    ends = assertions.select(P, "id", "predicate", "subject_id", "object_id", "evidence_span_id", "evidence_text", F.explode(F.array_distinct(F.array("subject_id", "object_id"))).alias("entity_id"))
+    first = Window.partitionBy(P, "entity_id").orderBy("id")
+    ends = ends.join(picked.select(P, F.col("id").alias("entity_id")), [P, "entity_id"], "left_semi").withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= EDGES)
+    names = entities.select(P, "id", "name")
+    ends = ends.join(names.select(P, F.col("id").alias("subject_id"), F.col("name").alias("_s")), [P, "subject_id"], "left").join(names.select(P, F.col("id").alias("object_id"), F.col("name").alias("_o")), [P, "object_id"], "left")
+    line = F.when(F.col("_s").isNotNull() & F.col("_o").isNotNull(), F.concat_ws(" ", "_s", "predicate", "_o"))
+    said = F.when(F.coalesce("evidence_text", F.lit("")) != "", truncate(F.trim("evidence_text"), EVIDENCE_LENGTH))
+    facts = ends.groupBy(P, F.col("entity_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("_k", line.alias("line"), said.alias("said"), F.when(F.col("evidence_span_id") != "", F.col("evidence_span_id")).alias("span")))).alias("facts"))
+    base = picked.join(facts, [P, "id"], "left")
+    of = lambda f: F.coalesce(F.array_compact(F.transform("facts", lambda x: x[f])), empty)
+    base = base.withColumn("spans", F.array_sort(F.array_distinct(F.array_compact(F.concat("own_spans", of("span")))))).withColumn("lines", F.array_distinct(of("line"))).withColumn("said", of("said"))
+
+    texts = spans.where("trim(text) <> ''").select(P, F.col("id").alias("span"), truncate(F.trim("text"), EVIDENCE_LENGTH).alias("text"))
+    near = base.select(P, "id", F.explode("spans").alias("span")).join(texts, [P, "span"])
+    near = near.withColumn("_k", F.row_number().over(Window.partitionBy(P, "id").orderBy("span"))).where(F.col("_k") <= EVIDENCE)
+    more = near.groupBy(P, "id").agg(F.array_sort(F.collect_list(F.struct("_k", "text"))).alias("more"))
+    whole = base.join(more, [P, "id"], "left").withColumn("more", F.coalesce(F.transform("more", lambda x: x["text"]), empty))
+    evidence = F.array_distinct(F.concat("said", F.slice("more", F.lit(1), F.greatest(F.lit(0), F.lit(EVIDENCE) - F.size("said")))))
+    listed = lambda title, c: F.when(F.size(c) > 0, F.concat(F.lit(f"{title}:\n- "), F.array_join(c, "\n- ")))
+    body = F.concat_ws("\n", F.concat(F.lit("Entity: "), F.coalesce("name", F.lit(""))), F.concat(F.lit("Type: "), "kind_of"), F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit("Description: "), "description")), listed("Relationships", F.col("lines")), listed("Evidence", evidence))
+    return whole.select(P, F.lit("entity").alias("kind"), F.col("name").alias("title"), truncate(F.trim(body), TEXT_LIMIT).alias("text"), F.col("degree").alias("records"))
+
+
+def document_rows(sources: DataFrame, spans: DataFrame, chunks: DataFrame, entities: DataFrame, limit: int = DOCUMENT_LIMIT) -> DataFrame:
+    """A chunk for each anchored chunk of a document, the first ``limit`` of a project by id."""
+    anchored = document_chunks(sources, spans, chunks, entities)
+    kept = anchored.withColumn("_r", F.row_number().over(Window.partitionBy(P).orderBy("chunk_id", "source_path"))).where(F.col("_r") <= limit)
+    own = kept.join(chunks.select(P, F.col("id").alias("chunk_id"), F.coalesce("text", F.lit("")).alias("body")), [P, "chunk_id"])
+    title = F.concat(F.col("source_path"), F.lit(" · part "), (F.coalesce("ordinal", F.lit(0)) + 1).cast("string"))
+    text = F.concat(F.lit("Document: "), F.col("source_path"), F.lit("\n\n"), F.col("body"))
+    last = own.select(P, title.alias("title"), truncate(F.trim(text), TEXT_LIMIT).alias("text"), "chunk_id").groupBy(P, "title").agg(F.max_by("text", "chunk_id").alias("text"))
+    return last.select(P, F.lit("document").alias("kind"), "title", "text", F.lit(1).cast("long").alias("records"))
+
+
 def keyed_chunks(parts: list[DataFrame]) -> DataFrame:
     """Union with ids by project, kind and title, and a hash of what is embedded."""
     union = parts[0]

@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftgraph.functions.columns import predicate_weight
+from weftgraph.functions.columns import or_else, predicate_weight
 from weftgraph.operators.merge import live
 from weftgraph.runtime import Workspace
 
@@ -74,28 +74,72 @@ def degrees(assertions: DataFrame) -> DataFrame:
     return both.groupBy(P, "id").agg(F.sum("i").alias("fan_in"), F.sum("o").alias("fan_out"), F.count("*").alias("degree"), F.sum("w").alias("weighted"))
 
 
-def top_neighbours(edges: DataFrame, limit: int = 6) -> DataFrame:
-    """For each entity its ``limit`` best edges of either direction: confidence, then name, then edge.
+def top_neighbours(edges: DataFrame, limit: int = 6, preferred: Sequence[str] = (), direction: str = "either") -> DataFrame:
+    """For each entity its ``limit`` most relevant edges; a self-loop counts once, as outgoing.
 
-    Only the best of a map-side partial order could be kept; the window's group limit does that.
+    Relevance: a preferred predicate (one that contains a term) is 0, a confidence of 0.95 is 2,
+    a structured source 3, else 10; then the neighbour's name, edge and direction.  With
+    preferred terms only such edges are taken, with a direction only those of it.
     """
-    cols = [P, F.col("id").alias("edge_id"), "predicate", "confidence"]
-    out = edges.select(*cols, F.col("subject_id").alias("entity_id"), F.col("object_id").alias("neighbour_id"), F.col("o_name").alias("neighbour"), F.lit("outgoing").alias("direction"))
-    into = edges.select(*cols, F.col("object_id").alias("entity_id"), F.col("subject_id").alias("neighbour_id"), F.col("s_name").alias("neighbour"), F.lit("incoming").alias("direction"))
-    w = Window.partitionBy(P, "entity_id").orderBy(F.desc_nulls_last("confidence"), F.asc_nulls_first("neighbour"), "edge_id", "direction")
-    return out.unionByName(into).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
-
-
-def path_rank(edges: DataFrame, predicates: Sequence[str], filter_node: Column, group_type: str, limit: int = 100, lowest: bool = False) -> DataFrame:
-    """Candidates of a type ranked by the distinct middle nodes on paths to a filter node.
-
-    Two hops: candidate - middle - filter.  Counted distinct per candidate, then the top.
+    if direction not in ("either", "outgoing", "incoming"):
+        raise ValueError("direction is either, outgoing or incoming")
+    told = F.lit(False)
+    for term in preferred:
+        told = told | F.coalesce(F.lower("predicate").contains(term.lower()), F.lit(False))
+    structured = F.coalesce(F.col("extraction_source") == "structured_connector", F.lit(False))
+    relevance = F.when(told, 0).when(F.coalesce("confidence", F.lit(0.0)) >= 0.95, 2).when(structured, 3).otherwise(10)
+    cols = [P, F.col("id").alias("edge_id"), "predicate", "confidence", relevance.alias("relevance")]
+    kept = edges.where(told) if preferred else edges
+    out = kept.select(*cols, F.col("subject_id").alias("entity_id"), F.col("object_id").alias("neighbour_id"), F.col("o_name").alias("neighbour"), F.lit("outgoing").alias("direction"))
+    into = kept.where("subject_id <> object_id").select(*cols, F.col("object_id").alias("entity_id"), F.col("subject_id").alias("neighbour_id"), F.col("s_name").alias("neighbour"), F.lit("incoming").alias("direction"))
+    both = out if direction == "outgoing" else into if direction == "incoming" else out.unionByName(into)
+    w = Window.partitionBy(P, "entity_id").orderBy("relevance", F.asc_nulls_first("neighbour"), "edge_id", "direction")
+    return both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
+
+
+def _ends(edges: DataFrame) -> DataFrame:
+    """``(project_slug, node, name, type, path)`` of the ends of edges; the mapped type where there is one."""
+    def side(p: str) -> DataFrame:
+        mapped = or_else(f"{p}mapped_type", F.col(f"{p}type")) if f"{p}mapped_type" in edges.columns else F.col(f"{p}type")
+        path = F.col(f"{p}source_path") if f"{p}source_path" in edges.columns else F.lit(None).cast("string")
+        return edges.select(P, F.col("subject_id" if p == "s_" else "object_id").alias("node"), F.col(f"{p}name").alias("name"), mapped.alias("type"), path.alias("path"))
+
+    return side("s_").unionByName(side("o_")).distinct()
+
+
+def path_rank(edges: DataFrame, predicates: Sequence[str], group_type: str, metric_type: str, start: DataFrame | None = None, limit: int | None = 100, lowest: bool = False, samples: int = 3) -> DataFrame:
+    """Candidates of a type by the distinct nodes of ``metric_type`` on their paths to a filter node.
+
+    ``(project_slug, filter, candidate, name, value, sources, paths)``.  Paths are undirected
+    trails of two or three hops whose predicates are ``predicates`` in turn from the candidate;
+    ``start(project_slug, a)`` are the filter nodes, every node if None.  sources and paths are
+    the first ``samples`` by name; they are picked before they are collected.
     """
-    first, second = predicates
-    inner = edges.where((F.col("predicate") == second) & filter_node).select(P, F.col("subject_id").alias("metric"))
-    outer = edges.where((F.col("predicate") == first) & (F.col("o_type") == group_type)).select(P, F.col("subject_id").alias("metric"), F.col("object_id").alias("candidate"), F.col("o_name").alias("name"))
-    counted = outer.join(inner, [P, "metric"]).groupBy("candidate", "name").agg(F.countDistinct("metric").alias("value"))
-    return counted.orderBy(F.asc("value") if lowest else F.desc("value"), "candidate").limit(limit)
+    if not 2 <= len(predicates) <= 3:
+        raise ValueError("a ranked path has two or three hops")
+    t = trails(edges, list(reversed(predicates)), start)
+    ends = _ends(edges)
+    last = len(predicates)
+    nodes = t.select(P, F.get("nodes", F.lit(0)).alias("filter"), F.get("nodes", F.lit(last)).alias("candidate"), F.explode(F.slice("nodes", 2, last - 1)).alias("metric"))
+    metric = ends.where(F.col("type") == metric_type).select(P, F.col("node").alias("metric"), F.col("name").alias("m_name"), F.col("path").alias("m_path"))
+    candidate = ends.where(F.col("type") == group_type).select(P, F.col("node").alias("candidate"), "name", F.col("path").alias("c_path"))
+    pairs = nodes.distinct().join(metric, [P, "metric"]).join(candidate, [P, "candidate"])
+    key = [P, "filter", "candidate", "name"]
+    w = Window.partitionBy(*key).orderBy(F.asc_nulls_first("m_name"), "metric")
+    line = F.concat_ws(" → ", F.coalesce("name", "candidate"), F.coalesce("m_name", "metric"))
+    first = F.col("_r") <= samples
+    ranked = pairs.withColumn("_r", F.row_number().over(w)).groupBy(*key).agg(
+        F.countDistinct("metric").alias("value"),
+        F.array_sort(F.collect_set(F.when(first, F.coalesce("m_path", "c_path")))).alias("sources"), F.array_sort(F.collect_set(F.when(first, line))).alias("paths"),
+    )
+    return ranked if limit is None else ranked.orderBy(F.asc("value") if lowest else F.desc("value"), F.asc_nulls_first("name"), P, "filter", "candidate").limit(limit)
+
+
+def path_count(edges: DataFrame, predicates: Sequence[str], group_type: str, start: DataFrame | None = None) -> DataFrame:
+    """``(project_slug, filter, value)``: distinct candidates of a type on paths of one to three hops to each filter node."""
+    t = trails(edges, list(reversed(predicates)), start).select(P, F.get("nodes", F.lit(0)).alias("filter"), F.get("nodes", F.lit(len(predicates))).alias("candidate")).distinct()
+    candidate = _ends(edges).where(F.col("type") == group_type).select(P, F.col("node").alias("candidate")).distinct()
+    return t.join(candidate, [P, "candidate"], "left_semi").groupBy(P, "filter").agg(F.count("*").alias("value"))
 
 
 def signatures(edges: DataFrame, start: DataFrame, limit: int = 200, hops: int = 2) -> DataFrame:

@@ -32,11 +32,11 @@ def cross_boundaries(edges: DataFrame) -> DataFrame:
 
 
 def lineage(edges: DataFrame) -> DataFrame:
-    """Lineage between code and data, counted by predicate, ends and their types."""
+    """Lineage between code and data, counted by predicate, ends and their types; first_path is of the first in order."""
     label = lambda p: F.when((layer(p) == "repo") | F.coalesce(f"{p}semantic_summary", F.lit(False)), F.col(f"{p}name")).otherwise(public_type(p))
     wanted = edges.where(((layer("s_") != layer("o_")) | is_lineage("s_") | is_lineage("o_")) & is_meaningful("s_") & is_meaningful("o_"))
-    rows = wanted.select("predicate", label("s_").alias("source"), label("o_").alias("target"), public_type("s_").alias("source_type"), public_type("o_").alias("target_type"), artifact_path("source_path").alias("path"))
-    return rows.groupBy("predicate", "source", "target", "source_type", "target_type").agg(F.count("*").alias("n"), F.min("path").alias("first_path"))
+    rows = wanted.select("predicate", label("s_").alias("source"), label("o_").alias("target"), public_type("s_").alias("source_type"), public_type("o_").alias("target_type"), artifact_path("source_path").alias("path"), F.struct(F.coalesce("ord", F.lit(-1)), "id").alias("at"))
+    return rows.groupBy("predicate", "source", "target", "source_type", "target_type").agg(F.count("*").alias("n"), F.min_by("path", "at").alias("first_path"))
 
 
 def orphan_groups(entities: DataFrame, assertions: DataFrame) -> DataFrame:

@@ -63,6 +63,12 @@ def reset_project(rows: DataFrame, project: str) -> DataFrame:
     return rows.where(~F.col("project_slug").eqNullSafe(F.lit(project)))
 
 
+def diff_ids(before: DataFrame, now: DataFrame, key: Sequence[str] = ("project_slug", "id")) -> DataFrame:
+    """``(*key, change)`` of keys that are new or gone; for assertions, whose id says all they are."""
+    b, n = before.select(*key).distinct(), now.select(*key).distinct()
+    return n.join(b, list(key), "left_anti").withColumn("change", F.lit("added")).unionByName(b.join(n, list(key), "left_anti").withColumn("change", F.lit("removed")))
+
+
 def live(rows: DataFrame) -> DataFrame:
     """Without stale rows."""
     return rows.where(~F.coalesce("stale", F.lit(False)))

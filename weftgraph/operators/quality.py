@@ -5,35 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.columns import canonical_name, is_opaque, or_else, stable_id
+from weftgraph.functions.columns import canonical_name, is_opaque, normal_predicate, or_else, stable_id
 from weftgraph.model import ENTITY_TYPES, PREDICATES, STATUSES
 
 P = "project_slug"
 
 
 def validate(assertions: DataFrame, entities: DataFrame, spans: DataFrame, least: float = 0.5) -> DataFrame:
-    """Each assertion with the first rule it breaks as ``reason``, null if none.
+    """Each assertion, its predicate normalised, with the first rule it breaks as ``reason``, null if none.
 
-    invalid_predicate (not for structured sources), missing_entity, missing_evidence,
-    low_confidence, in this order.  Three left joins on distinct ids.
+    invalid_predicate (not for the structured extractor), missing_entity, missing_evidence,
+    confidence_below_threshold, in this order.  Three left joins on distinct ids.
     """
+    assertions = assertions.withColumn("predicate", normal_predicate("predicate"))
     ids = entities.select(P, "id").distinct()
     s = ids.select(P, F.col("id").alias("subject_id"), F.lit(True).alias("_s"))
     o = ids.select(P, F.col("id").alias("object_id"), F.lit(True).alias("_o"))
     e = spans.select(P, F.col("id").alias("evidence_span_id")).distinct().withColumn("_e", F.lit(True))
     flagged = assertions.join(s, [P, "subject_id"], "left").join(o, [P, "object_id"], "left").join(e, [P, "evidence_span_id"], "left")
-    structured = F.coalesce(F.col("extraction_source") == "structured_connector", F.lit(False))
+    structured = F.coalesce(F.col("extractor") == "structured_connector", F.lit(False))
     reason = (
-        F.when(~F.coalesce(F.col("predicate").isin(PREDICATES), F.lit(False)) & ~structured, "invalid_predicate")
+        F.when(~F.coalesce(F.col("predicate").isin(*PREDICATES), F.lit(False)) & ~structured, "invalid_predicate")
         .when(F.col("_s").isNull() | F.col("_o").isNull(), "missing_entity")
         .when(F.col("_e").isNull(), "missing_evidence")
-        .when(F.coalesce("confidence", F.lit(0.0)) < least, "low_confidence")
+        .when(F.coalesce("confidence", F.lit(0.0)) < least, "confidence_below_threshold")
     )
     return flagged.select(*assertions.columns, reason.alias("reason"))
 
 
-def accepted(validated: DataFrame) -> DataFrame:
-    return validated.where("reason is null").withColumn("status", F.lit("validated")).drop("reason")
+def rejected_entities(entities: DataFrame) -> DataFrame:
+    """``(project_slug, id, reason)`` of entities of a type the model doesn't have."""
+    bad = ~F.coalesce(F.col("type").isin(*ENTITY_TYPES), F.lit(False))
+    return entities.where(bad).select(P, "id", F.lit("invalid_entity_type").alias("reason"))
+
+
+def accepted(validated: DataFrame, violations: DataFrame | None = None) -> DataFrame:
+    """What passes, as validated; nothing does if there is any violation of a shape."""
+    good = validated.where("reason is null").withColumn("status", F.lit("validated")).drop("reason")
+    if violations is None:
+        return good
+    any_ = violations.agg((F.count("*") > 0).alias("_any"))
+    return good.join(F.broadcast(any_.where("_any")), F.lit(True), "left_anti")  # one row at most
 
 
 def rejects_by(validated: DataFrame, *by: str) -> DataFrame:
@@ -46,7 +58,7 @@ def shape_violations(entities: DataFrame, assertions: DataFrame) -> DataFrame:
         F.lit("entity").alias("kind"), "id",
         F.explode(F.array_compact(F.array(
             F.when(F.coalesce("name", F.lit("")) == "", "no name"),
-            F.when(~F.coalesce(F.col("type").isin(ENTITY_TYPES), F.lit(False)), "no such type"),
+            F.when(~F.coalesce(F.col("type").isin(*ENTITY_TYPES), F.lit(False)), "no such type"),
         ))).alias("violation"),
     )
     a = assertions.select(
@@ -64,8 +76,8 @@ def shape_violations(entities: DataFrame, assertions: DataFrame) -> DataFrame:
 def resolution_key(entities: DataFrame) -> DataFrame:
     """With ``resolved_id``: by domain, type and key for structured rows, else by name and type."""
     full = lambda c: F.coalesce(c, F.lit("")) != ""
-    structured = full("domain") & full("mapped_type") & full("record_key")
-    named = stable_id("entity", P, F.lit("named"), canonical_name("name"), "type")
+    structured = F.coalesce(F.col("extraction_source") == "structured_connector", F.lit(False)) & full("domain") & full("mapped_type") & full("record_key")
+    named = stable_id("entity", P, F.lit("named"), canonical_name(or_else("normalized_name", F.col("name"))), "type")
     return entities.withColumn("resolved_id", F.when(structured, stable_id("entity", P, F.lit("structured"), "domain", "mapped_type", "record_key")).otherwise(named))
 
 
@@ -109,9 +121,9 @@ def resolve_entities(entities: DataFrame) -> DataFrame:
 
 
 def remap_assertions(assertions: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Ends follow ``mapping(project_slug, id, resolved_id)``, others stay; ids are hashed anew."""
+    """Ends follow ``mapping(project_slug, id, resolved_id)``, others stay; ids are hashed anew from the old ones."""
     s = mapping.select(P, F.col("id").alias("subject_id"), F.col("resolved_id").alias("_s"))
     o = mapping.select(P, F.col("id").alias("object_id"), F.col("resolved_id").alias("_o"))
     moved = assertions.join(s, [P, "subject_id"], "left").join(o, [P, "object_id"], "left")
     moved = moved.withColumn("subject_id", F.coalesce("_s", "subject_id")).withColumn("object_id", F.coalesce("_o", "object_id")).drop("_s", "_o")
-    return moved.withColumn("id", stable_id("assertion", P, "predicate", "subject_id", "object_id"))
+    return moved.withColumn("id", stable_id("assertion", P, "id"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -64,18 +67,20 @@ def group_links(links: DataFrame, groups: DataFrame, limit: int = 240) -> DataFr
     return top.select(stable_id("group_link", "source", "predicate", "target").alias("id"), "source", "target", "predicate", "members", "confidence")
 
 
-def page_worthy(entities: DataFrame, assertions: DataFrame, per_type: int = PAGES_PER_TYPE) -> DataFrame:
-    """All of the repository, and of each type of data the best by weighted degree."""
+def page_worthy(entities: DataFrame, assertions: DataFrame, edges: DataFrame, per_type: int = PAGES_PER_TYPE) -> DataFrame:
+    """All of the repository, of each type of data the best by weighted degree, and the ends of key relationships."""
     d = degrees(assertions).select(P, "id", "weighted")
     data = entities.where(layer() == "data").join(d, [P, "id"], "left")
     w = Window.partitionBy(display_type()).orderBy(F.desc(F.coalesce("weighted", F.lit(0))), "name", P, "id")
     best = data.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= per_type)
-    return entities.where(layer() == "repo").select(P, "id").unionByName(best.select(P, "id"))
+    key = edges.select(P, "id", "subject_id", "object_id").join(key_relationships(edges).select(P, "id"), [P, "id"], "left_semi")
+    ends = key.select(P, F.explode(F.array("subject_id", "object_id")).alias("id"))
+    return entities.where(layer() == "repo").select(P, "id").unionByName(best.select(P, "id")).unionByName(ends).distinct()
 
 
-def relationship_scores(edges: DataFrame, assertions: DataFrame) -> DataFrame:
-    """Score of an edge: its predicate, its ends' types and degrees, evidence and confidence."""
-    d = degrees(assertions).select(P, "id", "degree")
+def relationship_scores(edges: DataFrame) -> DataFrame:
+    """Score of an edge: its predicate, its ends' types and degrees among ``edges``, evidence and confidence."""
+    d = degrees(edges).select(P, "id", "degree")
     both = edges.join(d.select(P, F.col("id").alias("subject_id"), F.col("degree").alias("sd")), [P, "subject_id"], "left").join(d.select(P, F.col("id").alias("object_id"), F.col("degree").alias("od")), [P, "object_id"], "left")
     evidence = F.when((F.coalesce("evidence_text", F.lit("")) != "") | (F.coalesce("evidence_span_id", F.lit("")) != ""), 1).otherwise(0)
     dull = F.when((F.col("predicate") == "contains") & (F.col("s_type") == "File"), 6).otherwise(0)
@@ -84,40 +89,50 @@ def relationship_scores(edges: DataFrame, assertions: DataFrame) -> DataFrame:
     return both.withColumn("score", F.round(score.cast("double"), 6)).drop("sd", "od")
 
 
-def key_relationships(edges: DataFrame, assertions: DataFrame, per_section: int = 12, pool: int = 400) -> DataFrame:
+def key_relationships(edges: DataFrame, per_section: int = 12) -> DataFrame:
     """``(project_slug, section, position, id, score)``: diverse best edges of each section.
 
-    Quotas (three per source, four per pair of types, four per predicate) depend on the
-    order of choice, so they run over each project's best ``pool`` edges of a section; a
-    pool is a thousand rows and never grows with the data.
+    Edges are tried by score, ties in their order (``ord``, id), sections in turn; an edge is
+    taken once.  Quotas: three per source path, four per pair of types, four per predicate, one
+    ``contains`` of a file per source path.  Edges that no quota tells apart (same section,
+    predicate, types and source) beyond those that earlier sections might take and three more
+    can't be chosen, so they are cut before the exchange; the rest of a project streams through
+    one task in order, which keeps counters only and stops choosing when a section is full.
     """
-    scored = relationship_scores(edges, assertions)
+    scored = relationship_scores(edges).withColumn("source", or_else("source_path", or_else("s_source_path", F.lit("synthetic"))))
     parts = None
     for n, (section, predicates, types) in enumerate(SECTIONS):
-        by_type = (F.col("s_type").isin(*types) | F.col("o_type").isin(*types)) & (F.col("predicate") != "contains")
-        part = scored.where(F.col("predicate").isin(*predicates) | by_type).select(P, F.lit(n).alias("n"), F.lit(section).alias("section"), "id", "subject_id", "predicate", "s_type", "o_type", "score")
+        kinds = [F.col("s_type"), F.col("o_type"), display_type("s_"), display_type("o_")]
+        by_type = F.lit(False)
+        for k in kinds[:2] if "BusinessEntity" in types else kinds:
+            by_type = by_type | k.isin(*(["BusinessEntity"] if "BusinessEntity" in types else types))
+        belongs = F.col("predicate").isin(*predicates) | (by_type & (F.col("predicate") != "contains"))
+        part = scored.where(F.coalesce(belongs, F.lit(False))).select(P, F.lit(n).alias("n"), F.lit(section).alias("section"), "id", "ord", "source", "predicate", "s_type", "o_type", "score")
         parts = part if parts is None else parts.unionByName(part)
-    w = Window.partitionBy(P, "n").orderBy(F.desc("score"), "id")
-    best = parts.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= pool).drop("_r")
-
-    def choose(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        out = []
-        for (_, section), part in rows.sort_values(["n", "score", "id"], ascending=[True, False, True]).groupby(["n", "section"], sort=True):
-            source: dict = {}
-            pair: dict = {}
-            predicate: dict = {}
-            for r in part.itertuples():
-                kinds = (r.s_type, r.o_type)
-                if r.id in taken or source.get(r.subject_id, 0) >= 3 or pair.get(kinds, 0) >= 4 or predicate.get(r.predicate, 0) >= 4:
+    alike = Window.partitionBy(P, "n", "predicate", "s_type", "o_type", "source").orderBy(F.desc("score"), F.asc_nulls_first("ord"), "id")
+    best = parts.withColumn("_r", F.row_number().over(alike)).where(F.col("_r") <= per_section * (len(SECTIONS) - 1) + 3).drop("_r")
+    ordered = best.repartition(P).sortWithinPartitions(P, "n", F.desc("score"), F.asc_nulls_first("ord"), "id")
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        project, at, taken = object(), None, set()
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                if r["project_slug"] != project:
+                    project, at, taken = r["project_slug"], None, set()
+                if r["n"] != at:
+                    at, chosen = r["n"], 0
+                    counts: Counter = Counter()
+                quotas = [(("source", r["source"]), 3), (("pair", r["s_type"], r["o_type"]), 4), (("predicate", r["predicate"]), 4)]
+                if r["predicate"] == "contains" and r["s_type"] == "File":
+                    quotas.append((("contains", r["source"]), 1))
+                if chosen >= per_section or r["id"] in taken or any(counts[k] >= most for k, most in quotas):
                     continue
-                source[r.subject_id] = source.get(r.subject_id, 0) + 1
-                pair[kinds] = pair.get(kinds, 0) + 1
-                predicate[r.predicate] = predicate.get(r.predicate, 0) + 1
-                taken.add(r.id)
-                out.append((key[0], section, len([x for x in out if x[1] == section]) + 1, r.id, r.score))
-                if out[-1][2] == per_section:
-                    break
-        return pd.DataFrame(out, columns=["project_slug", "section", "position", "id", "score"])
-
-    return best.groupBy(P).applyInPandas(choose, "project_slug string, section string, position int, id string, score double")
+                counts.update(k for k, _ in quotas)
+                chosen += 1
+                taken.add(r["id"])
+                out.append((project, r["section"], chosen, r["id"], r["score"]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.int32(), pa.string(), pa.float64()), strict=True)], names=["project_slug", "section", "position", "id", "score"])
+
+    return ordered.mapInArrow(choose, "project_slug string, section string, position int, id string, score double")

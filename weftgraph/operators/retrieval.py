@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,10 +61,62 @@ def vector_top_k(rows: DataFrame, key: str, query: Sequence[float], k: int = 4,
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+#: Query vectors a block has on average; a block is sent to every task.
+QUERY_BLOCK = 2048
+
+
+def vector_top_k_each(rows: DataFrame, queries: DataFrame, key: str, k: int = 10, vector: str = "embedding") -> DataFrame:
+    """``(query_id, key, score, rank)``: the exact ``k`` nearest rows of every query vector by cosine.
+
+    Queries are taken in blocks of a bounded number; of each block every batch of rows gives its
+    best ``k`` a query by one matrix product, and the best of those are kept by a group limit.
+    Scores are rounded to six digits, ties go by key.  Null, zero and wrongly sized vectors (other
+    than the first query's) have no score; empty tables give no rows.
+    """
+    if not 1 <= k <= 50:
+        raise ValueError("k is between 1 and 50")
+    asked = queries.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    count = asked.count()
+    blocks = -(-count // QUERY_BLOCK)
+    kind = rows.schema[key].dataType.simpleString()
+    out = rows.sparkSession.createDataFrame([], f"query_id {kind}, {key} {kind}, score double")
+    own = rows.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
+    for block in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == block).limit(2 * QUERY_BLOCK + 1).collect()
+        if len(part) > 2 * QUERY_BLOCK:
+            raise ValueError("queries repeat a key too often for blocks of a bounded size")
+        if not part:
+            continue
+        size = len(part[0]["v"])
+        part = [r for r in part if len(r["v"]) == size and any(r["v"])]
+        matrix = np.array([r["v"] for r in part], dtype=np.float64).reshape(len(part), size)
+        matrix /= np.linalg.norm(matrix, axis=1, keepdims=True)
+        sent = rows.sparkSession.sparkContext.broadcast(([r["k"] for r in part], matrix))
+
+        def best(batches: Iterator[pa.RecordBatch], sent=sent, size=size) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            for batch in batches:
+                keep = [n for n, v in enumerate(batch.column("v").to_pylist()) if len(v) == size and any(v)]
+                if not keep or not ids:
+                    continue
+                taken = batch.take(pa.array(keep))
+                order = np.argsort(np.argsort(np.array(taken.column("k").to_pylist()), kind="stable"), kind="stable")
+                x = np.array(taken.column("v").to_pylist(), dtype=np.float64)
+                scores = np.round(q @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T, 6)
+                top = np.lexsort((np.broadcast_to(order, scores.shape), -scores), axis=1)[:, :k]
+                at = pa.array(top.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(ids, taken.column("k").type).take(pa.array(np.repeat(np.arange(len(ids)), top.shape[1]))), taken.column("k").take(at), pa.array(np.take_along_axis(scores, top, axis=1).ravel())], names=["query_id", key, "score"])
+
+        out = out.unionByName(own.mapInArrow(best, f"query_id {kind}, {key} {kind}, score double"))
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def hits_to_entities(hits: DataFrame, chunks: DataFrame, entities: DataFrame) -> DataFrame:
     """Each hit chunk's entity, if it is in the project and not stale."""
     e = live(entities).select(P, F.col("id").alias("entity_id"), "name")
-    return hits.join(chunks.select(P, "id", F.lower(F.trim("entity_id")).alias("entity_id")), "id").join(e, [P, "entity_id"])
+    on = [P, "id"] if P in hits.columns else ["id"]
+    return hits.join(chunks.select(P, "id", F.lower(F.trim("entity_id")).alias("entity_id")), on).join(e, [P, "entity_id"])
 
 
 def bounded_paths(edges: DataFrame, start: DataFrame, limit: int = 6) -> DataFrame:

@@ -5,10 +5,12 @@ hash is divisible by ``rows_per_chunk`` begins a chunk, so an insertion moves no
 cut).  Chunks of two consecutive snapshots with the same digest are discarded whole; the
 rows of the others are merge-joined on the key and classified.
 
-All snapshots of a key land in the same range partition, so a chunk meets its counterpart
-without a second exchange: one aggregation (which keeps the delivery that counts and
-combines on the map side, so that a hot id is harmless) and one range exchange, whatever
-the number of snapshots.  The pass over a partition holds one chunk, never a snapshot.
+Values are digested where they are read: a row moves as its key, its version and one 64-bit
+digest per compared field, never with its values.  All snapshots of a key land in the same
+range partition, so a chunk meets its counterpart without a third exchange: one aggregation
+(which keeps the delivery that counts and combines on the map side, so that a hot id is
+harmless) and one range exchange, whatever the number of snapshots.  The pass over a
+partition holds one chunk, never a snapshot.
 """
 
 from __future__ import annotations
@@ -42,14 +44,14 @@ def snapshot_changes(
     A version is compared with the latest earlier one that its group delivered; the first
     has no rows.  change is 'added' or 'removed' with field '', or 'modified' with one row
     per changed field.  Of several rows of a key in one snapshot the latest delivered
-    counts (null delivery is the earliest; equal times: the greatest values, so the result
-    is the same on every run).  Values are compared exactly, null and '' differ.  Rows
+    counts (null delivery is the earliest; equal times: the greatest digests, so the result
+    is the same on every run).  Values are compared by 64-bit digests, null and '' differ.  Rows
     with null group, version or key are no records.  Empty input gives an empty result;
     further columns, also ones with clashing names, are not read.
     """
     own = snapshots.select(
         F.col(group).alias("g"), F.col(version).cast("int").alias("v"), F.col(key).alias("k"),
-        F.col(delivered).alias("at"), *[F.col(f).alias(f"f{i}") for i, f in enumerate(fields)],
+        F.col(delivered).alias("at"), *[F.xxhash64(f, F.col(f).isNull()).alias(f"f{i}") for i, f in enumerate(fields)],
     ).where("g is not null and v is not null and k is not null")
     values = [f"f{i}" for i in range(len(fields))]
     latest = own.groupBy("g", "v", "k").agg(F.max(F.struct("at", *values)).alias("x")).select("g", "v", "k", *[F.col(f"x.{c}").alias(c) for c in values])
@@ -59,15 +61,10 @@ def snapshot_changes(
     if size_bound(steps, STEP_LIMIT):
         steps = F.broadcast(steps)
 
-    content = [c for v in values for c in (F.coalesce(v, F.lit("")), F.col(v).isNull())]
-    marked = (
-        latest.join(steps, ["g", "v"])
-        .withColumn("cut", F.pmod(F.xxhash64("k"), F.lit(rows_per_chunk)) == 0)
-        .withColumn("d1", F.xxhash64("k", *content))
-        .withColumn("d2", F.xxhash64(F.lit(7919), "k", *content))
-        .repartitionByRange("g", "k")
-        .sortWithinPartitions("g", "k", "v")
-    )
+    ordered = latest.join(steps, ["g", "v"]).repartitionByRange("g", "k").sortWithinPartitions("g", "k", "v")
+    marked = ordered.select(
+        "*", (F.pmod(F.xxhash64("k"), F.lit(rows_per_chunk)) == 0).alias("cut"), F.xxhash64("k", *values).alias("d1"), F.xxhash64(F.lit(7919), "k", *values).alias("d2"),
+    )
     out = T.StructType([T.StructField("g", T.StringType()), T.StructField("v", T.IntegerType()), T.StructField("k", T.StringType()), T.StructField("change", T.StringType()), T.StructField("field", T.StringType())])
     names = list(fields)
     found = marked.mapInArrow(lambda batches: _diff(batches, names), out)

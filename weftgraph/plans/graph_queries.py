@@ -271,11 +271,12 @@ def c1_relationships(spark, d):
     return J.project_relationships(_tables(spark, d), _MAP).select("predicate", "subject_id", "object_id")
 
 
-_VALID = f"""{_E}, {_A}, {_SP}, v AS (SELECT a.*, CASE
-  WHEN coalesce(predicate NOT IN ({_list(PREDICATES)}), true) AND NOT coalesce(extraction_source = 'structured_connector', false) THEN 'invalid_predicate'
+_NORMAL = _case(_NORM, {k: v for k, v in PREDICATE_ALIASES.items()}, _NORM)
+_VALID = f"""{_E}, {_A}, {_SP}, v AS (SELECT a.* REPLACE ({_NORMAL} AS predicate), CASE
+  WHEN coalesce({_NORMAL} NOT IN ({_list(PREDICATES)}), true) AND NOT coalesce(extractor = 'structured_connector', false) THEN 'invalid_predicate'
   WHEN NOT EXISTS (SELECT 1 FROM e WHERE e.project_slug = a.project_slug AND e.id = a.subject_id) OR NOT EXISTS (SELECT 1 FROM e WHERE e.project_slug = a.project_slug AND e.id = a.object_id) THEN 'missing_entity'
   WHEN NOT EXISTS (SELECT 1 FROM sp WHERE sp.project_slug = a.project_slug AND sp.id = a.evidence_span_id) THEN 'missing_evidence'
-  WHEN coalesce(confidence, 0) < 0.5 THEN 'low_confidence' END AS reason FROM a)"""
+  WHEN coalesce(confidence, 0) < 0.5 THEN 'confidence_below_threshold' END AS reason FROM a)"""
 
 
 def _validated(spark, d):
@@ -283,9 +284,10 @@ def _validated(spark, d):
     return Q.validate(g.assertions, g.entities, g.spans)
 
 
-@query(f"WITH {_VALID} SELECT project_slug, id, reason FROM v WHERE reason IS NOT NULL")
+@query(f"WITH {_VALID} SELECT project_slug, id, reason FROM v WHERE reason IS NOT NULL UNION ALL SELECT project_slug, id, 'invalid_entity_type' FROM e WHERE coalesce(type NOT IN ({_list(ENTITY_TYPES)}), true)")
 def c2_rejects(spark, d):
-    return _validated(spark, d).where("reason is not null").select(P, "id", "reason")
+    bad = Q.rejected_entities(_graph(spark, d).entities)
+    return _validated(spark, d).where("reason is not null").select(P, "id", "reason").unionByName(bad)
 
 
 @query(f"WITH {_X} SELECT project_slug, id, predicate, s_name, o_name FROM x")
@@ -293,14 +295,14 @@ def c3_edges(spark, d):
     return _edges(spark, d).select(P, "id", "predicate", "s_name", "o_name")
 
 
-_SLUG = "regexp_replace(regexp_replace(lower(trim(name, ' ')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_SLUG = "regexp_replace(regexp_replace(lower(trim(coalesce(nullif(normalized_name, ''), name), ' ')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
 _CANON = f"replace(CASE WHEN {_SLUG} = '' THEN 'untitled' ELSE {_SLUG} END, '-', ' ')"
-_RES = f"""r AS (SELECT *, CASE WHEN coalesce(domain, '') <> '' AND coalesce(mapped_type, '') <> '' AND coalesce(record_key, '') <> '' THEN {_sid("entity", "project_slug", "'structured'", "domain", "mapped_type", "record_key")}
+_RES = f"""r AS (SELECT *, CASE WHEN coalesce(extraction_source = 'structured_connector', false) AND coalesce(domain, '') <> '' AND coalesce(mapped_type, '') <> '' AND coalesce(record_key, '') <> '' THEN {_sid("entity", "project_slug", "'structured'", "domain", "mapped_type", "record_key")}
   ELSE {_sid("entity", "project_slug", "'named'", _CANON, "type")} END AS resolved_id FROM e)"""
 
 
-@query(f"""WITH {_E}, {_A}, {_RES} SELECT project_slug, {_sid("assertion", "project_slug", "predicate", "subject_id", "object_id")} AS id, subject_id, object_id FROM (
-SELECT a.project_slug, a.predicate, coalesce(s.resolved_id, a.subject_id) AS subject_id, coalesce(o.resolved_id, a.object_id) AS object_id FROM a
+@query(f"""WITH {_E}, {_A}, {_RES} SELECT project_slug, {_sid("assertion", "project_slug", "id")} AS id, subject_id, object_id FROM (
+SELECT a.project_slug, a.id, coalesce(s.resolved_id, a.subject_id) AS subject_id, coalesce(o.resolved_id, a.object_id) AS object_id FROM a
 LEFT JOIN r s ON s.project_slug = a.project_slug AND s.id = a.subject_id LEFT JOIN r o ON o.project_slug = a.project_slug AND o.id = a.object_id)""")
 def c4_id_remap(spark, d):
     g = _graph(spark, d)
@@ -313,11 +315,12 @@ def c5_exact_lookup(spark, d):
     return V.exact_lookup(_graph(spark, d).entities, ["Contract 10000", "Vault"])
 
 
-_NB = f"""{_X}, nb AS (SELECT project_slug, id AS edge_id, confidence, subject_id AS entity_id, object_id AS neighbour_id, o_name AS neighbour, 'outgoing' AS direction FROM x
-UNION ALL SELECT project_slug, id, confidence, object_id, subject_id, s_name, 'incoming' FROM x)"""
+_REL = "CASE WHEN coalesce(confidence, 0) >= 0.95 THEN 2 WHEN extraction_source = 'structured_connector' THEN 3 ELSE 10 END AS relevance"
+_NB = f"""{_X}, nb AS (SELECT project_slug, id AS edge_id, {_REL}, subject_id AS entity_id, object_id AS neighbour_id, o_name AS neighbour, 'outgoing' AS direction FROM x
+UNION ALL SELECT project_slug, id, {_REL}, object_id, subject_id, s_name, 'incoming' FROM x WHERE subject_id <> object_id)"""
 
 
-@query(f"""WITH {_NB} SELECT project_slug, entity_id, edge_id, neighbour_id, direction, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY project_slug, entity_id ORDER BY confidence DESC NULLS LAST, neighbour NULLS FIRST, edge_id, direction) AS INTEGER) AS rank FROM nb) WHERE rank <= 6""")
+@query(f"""WITH {_NB} SELECT project_slug, entity_id, edge_id, neighbour_id, direction, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY project_slug, entity_id ORDER BY relevance, neighbour NULLS FIRST, edge_id, direction) AS INTEGER) AS rank FROM nb) WHERE rank <= 6""")
 def c6_neighbors_top6(spark, d):
     return E.top_neighbours(_edges(spark, d)).select(P, "entity_id", "edge_id", "neighbour_id", "direction", "rank")
 
@@ -333,9 +336,9 @@ def c7_trails_2hop(spark, d):
     return counted.where("trails > 0")
 
 
-@query(f"WITH {_SYM} SELECT u.project_slug, u.a AS first, w.b AS last, count(*) AS trails FROM sym u JOIN sym v ON u.project_slug = v.project_slug AND u.b = v.a AND u.eid <> v.eid JOIN sym w ON v.project_slug = w.project_slug AND v.b = w.a AND w.eid <> v.eid AND w.eid <> u.eid WHERE u.predicate = 'depends_on' AND v.predicate = 'reads_from' AND w.predicate = 'depends_on' GROUP BY ALL")
+@query(f"WITH {_SYM} SELECT u.project_slug, u.a AS first, w.b AS last, count(*) AS trails FROM sym u JOIN sym v ON u.project_slug = v.project_slug AND u.b = v.a AND u.eid <> v.eid JOIN sym w ON v.project_slug = w.project_slug AND v.b = w.a AND w.eid <> v.eid AND w.eid <> u.eid WHERE u.predicate = 'mentions' AND v.predicate = 'uses' AND w.predicate = 'depends_on' GROUP BY ALL")
 def c7_trails_3hop(spark, d):
-    t = E.trails(_edges(spark, d), ["depends_on", "reads_from", "depends_on"])
+    t = E.trails(_edges(spark, d), ["mentions", "uses", "depends_on"])
     return t.groupBy(P, F.get("nodes", F.lit(0)).alias("first"), F.get("nodes", F.lit(3)).alias("last")).agg(F.count("*").alias("trails"))
 
 
@@ -460,14 +463,15 @@ def d3_weighted_degree(spark, d):
     return E.degrees(_graph(spark, d).assertions).select(P, "id", "weighted")
 
 
-@query("SELECT 'customer_' || o_custkey AS candidate, c_name AS name, count(DISTINCT o_orderkey) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL ORDER BY value DESC, candidate LIMIT 100")
+@query("SELECT 'customer_' || o_custkey AS candidate, c_name AS name, count(DISTINCT o_orderkey) AS value FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderpriority = '1-URGENT' GROUP BY ALL ORDER BY value DESC, name NULLS FIRST, candidate LIMIT 100")
 def d4_path_rank(spark, d):
     """Which customers have the most urgent orders: customer - order - priority."""
     o, c = table(spark, d, "orders"), table(spark, d, "customer")
     order = F.concat(F.lit("order_"), F.col("o_orderkey"))
-    placed = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.lit("sales").alias(P), F.lit("placed_by").alias("predicate"), order.alias("subject_id"), F.concat(F.lit("customer_"), F.col("o_custkey")).alias("object_id"), F.lit("Customer").alias("o_type"), F.col("c_name").alias("o_name"))
-    urgent = o.select(F.lit("sales").alias(P), F.lit("has_priority").alias("predicate"), order.alias("subject_id"), F.concat(F.lit("priority_"), F.col("o_orderpriority")).alias("object_id"), F.lit("Priority").alias("o_type"), F.col("o_orderpriority").alias("o_name"))
-    return E.path_rank(placed.unionByName(urgent), ["placed_by", "has_priority"], F.col("object_id") == "priority_1-URGENT", "Customer")
+    placed = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.lit("sales").alias(P), F.lit("placed_by").alias("predicate"), order.alias("subject_id"), F.concat(F.lit("customer_"), F.col("o_custkey")).alias("object_id"), F.lit("Customer").alias("o_type"), F.col("c_name").alias("o_name"), F.lit("Order").alias("s_type"), order.alias("s_name"), F.concat(F.lit("p"), order).alias("id"))
+    urgent = o.select(F.lit("sales").alias(P), F.lit("has_priority").alias("predicate"), order.alias("subject_id"), F.concat(F.lit("priority_"), F.col("o_orderpriority")).alias("object_id"), F.lit("Priority").alias("o_type"), F.col("o_orderpriority").alias("o_name"), F.lit("Order").alias("s_type"), order.alias("s_name"), F.concat(F.lit("u"), order).alias("id"))
+    start = spark.createDataFrame([("sales", "priority_1-URGENT")], f"{P} string, a string")
+    return E.path_rank(placed.unionByName(urgent), ["placed_by", "has_priority"], "Customer", "Order", start).select("candidate", "name", "value")
 
 
 @query(f"WITH {_X} SELECT s_type AS group_type, predicate, count(DISTINCT struct_pack(p := project_slug, i := subject_id)) AS candidates, list_sort(list(DISTINCT s_name) FILTER (s_name IS NOT NULL))[1:3] AS samples FROM x GROUP BY ALL")
@@ -476,6 +480,27 @@ def d5_path_count(spark, d):
     return e.groupBy(F.col("s_type").alias("group_type"), "predicate").agg(F.countDistinct(P, "subject_id").alias("candidates"), F.slice(F.array_sort(F.collect_set("s_name")), 1, 3).alias("samples"))
 
 
+_T3 = f"{_SYM}, t3 AS (SELECT u.project_slug, u.a AS filter, u.b AS m1, v.b AS m2, w.b AS candidate FROM sym u JOIN sym v ON u.project_slug = v.project_slug AND u.b = v.a AND u.eid <> v.eid JOIN sym w ON v.project_slug = w.project_slug AND v.b = w.a AND w.eid <> v.eid AND w.eid <> u.eid WHERE u.predicate = 'mentions' AND v.predicate = 'uses' AND w.predicate = 'depends_on')"
+_TY = "coalesce(nullif(mapped_type, ''), type)"
+
+
+@query(f"""WITH {_T3} SELECT t.project_slug, t.filter, t.candidate, c.name, count(DISTINCT m.id) AS value FROM (SELECT project_slug, filter, candidate, m1 AS metric FROM t3 UNION SELECT project_slug, filter, candidate, m2 FROM t3) t
+JOIN live m ON m.project_slug = t.project_slug AND m.id = t.metric AND {_TY.replace('mapped_type', 'm.mapped_type').replace(', type', ', m.type')} = 'Workflow' JOIN live c ON c.project_slug = t.project_slug AND c.id = t.candidate AND {_TY.replace('mapped_type', 'c.mapped_type').replace(', type', ', c.type')} = 'File' GROUP BY ALL""")
+def k3_path_rank(spark, d):
+    """For every filter node: files by the workflows on file - depends_on - uses - mentions - node."""
+    return E.path_rank(_edges(spark, d), ["depends_on", "uses", "mentions"], "File", "Workflow", limit=None).drop("sources", "paths")
+
+
+@query(f"WITH {_T3} SELECT t.project_slug, t.filter, count(DISTINCT t.candidate) AS value FROM t3 t JOIN live c ON c.project_slug = t.project_slug AND c.id = t.candidate AND {_TY.replace('mapped_type', 'c.mapped_type').replace(', type', ', c.type')} = 'File' GROUP BY ALL")
+def k3_path_count(spark, d):
+    return E.path_count(_edges(spark, d), ["depends_on", "uses", "mentions"], "File")
+
+
+@query(f"WITH {_SYM} SELECT u.project_slug, u.a AS filter, count(DISTINCT u.b) AS value FROM sym u JOIN live c ON c.project_slug = u.project_slug AND c.id = u.b AND {_TY.replace('mapped_type', 'c.mapped_type').replace(', type', ', c.type')} = 'File' WHERE u.predicate = 'uses' GROUP BY ALL")
+def k3_direct_count(spark, d):
+    return E.path_count(_edges(spark, d), ["uses"], "File")
+
+
 _START = "(SELECT project_slug, id FROM live WHERE type = 'DataStore')"
 
 
@@ -511,9 +536,9 @@ def d9_architecture_summary(spark, d):
     return K.architecture_chunks(_graph(spark, d).entities).select(P, "title", "records")
 
 
-@query(f"WITH {_X}, y AS (SELECT {_area('s_')} AS source_area, {_area('o_')} AS target_area, predicate FROM x WHERE {_layer('s_')} = 'repo' AND {_layer('o_')} = 'repo' AND predicate IN ({_list(FLOW_PREDICATES)}) AND {_meaningful('s_')} AND {_meaningful('o_')}) SELECT source_area, target_area, predicate, count(*) AS n FROM y WHERE source_area <> '' AND target_area <> '' AND source_area <> target_area GROUP BY ALL")
+@query(f"WITH {_X}, y AS (SELECT {_area('s_')} AS source_area, {_area('o_')} AS target_area, predicate FROM x WHERE {_layer('s_')} = 'repo' AND {_layer('o_')} = 'repo' AND predicate IN ({_list(FLOW_PREDICATES)}) AND {_meaningful('s_')} AND {_meaningful('o_')}) SELECT source_area, target_area, predicate, count(*) AS n FROM y WHERE source_area <> '' AND target_area <> '' AND source_area <> target_area GROUP BY ALL ORDER BY n DESC, source_area, target_area, predicate LIMIT 20")
 def d10_cross_boundary(spark, d):
-    return I.cross_boundaries(_edges(spark, d))
+    return I.cross_boundaries(_edges(spark, d)).orderBy(F.desc("n"), "source_area", "target_area", "predicate").limit(20)
 
 
 def _lin(p):
@@ -524,9 +549,9 @@ def _lab(p):
     return f"CASE WHEN {_layer(p)} = 'repo' OR coalesce({p}semantic_summary, false) THEN {p}name ELSE {_public(p)} END"
 
 
-@query(f"WITH {_X} SELECT predicate, {_lab('s_')} AS source, {_lab('o_')} AS target, {_public('s_')} AS source_type, {_public('o_')} AS target_type, count(*) AS n, min(split_part(source_path, '#', 1)) AS first_path FROM x WHERE ({_layer('s_')} <> {_layer('o_')} OR {_lin('s_')} OR {_lin('o_')}) AND {_meaningful('s_')} AND {_meaningful('o_')} GROUP BY ALL")
+@query(f"WITH {_X} SELECT predicate, {_lab('s_')} AS source, {_lab('o_')} AS target, {_public('s_')} AS source_type, {_public('o_')} AS target_type, count(*) AS n, arg_min(struct_pack(v := split_part(source_path, '#', 1)), struct_pack(o := coalesce(ord, -1), i := id)).v AS first_path FROM x WHERE ({_layer('s_')} <> {_layer('o_')} OR {_lin('s_')} OR {_lin('o_')}) AND {_meaningful('s_')} AND {_meaningful('o_')} GROUP BY ALL ORDER BY n DESC, predicate, source NULLS FIRST, target NULLS FIRST, source_type, target_type LIMIT 20")
 def d11_lineage(spark, d):
-    return I.lineage(_edges(spark, d))
+    return I.lineage(_edges(spark, d)).orderBy(F.desc("n"), "predicate", "source", "target", "source_type", "target_type").limit(20)
 
 
 @query(f"WITH {_E}, {_A} SELECT CASE WHEN coalesce(dataset, '') <> '' THEN dataset ELSE 'Structured data' END AS dataset, {_public()} AS type, count(*) AS n FROM e WHERE {_layer()} = 'data' AND NOT EXISTS (SELECT 1 FROM a WHERE a.project_slug = e.project_slug AND a.subject_id = e.id) AND NOT EXISTS (SELECT 1 FROM a WHERE a.project_slug = e.project_slug AND a.object_id = e.id) GROUP BY ALL")
@@ -545,9 +570,9 @@ def d14_evidence_gaps(spark, d):
     return I.evidence_gaps(_graph(spark, d).assertions)
 
 
-@query(f"WITH {_E} SELECT normalized_name, list_sort(list(DISTINCT {_public()})) AS types FROM e WHERE coalesce(normalized_name, '') <> '' GROUP BY 1 HAVING count(DISTINCT {_public()}) > 1")
+@query(f"WITH {_E} SELECT normalized_name, list_sort(list(DISTINCT {_public()})) AS types FROM e WHERE coalesce(normalized_name, '') <> '' GROUP BY 1 HAVING count(DISTINCT {_public()}) > 1 ORDER BY 1 LIMIT 20")
 def d15_conflicts(spark, d):
-    return I.conflicts(_graph(spark, d).entities)
+    return I.conflicts(_graph(spark, d).entities).orderBy("normalized_name").limit(20)
 
 
 @query(f"WITH {_E} SELECT project_slug, {_layer()} AS layer, type, coalesce(dataset, '') AS dataset, count(*) AS n FROM e GROUP BY ALL")
@@ -575,9 +600,9 @@ def d23_community_tokens(spark, d):
     return score.withColumn("rank", F.row_number().over(w)).where("rank <= 4")
 
 
-@query(f"WITH {_VALID} SELECT reason, predicate, count(*) AS n FROM v WHERE reason IS NOT NULL GROUP BY ALL")
+@query(f"WITH {_VALID} SELECT reason, predicate, count(*) AS n FROM v WHERE reason IS NOT NULL GROUP BY ALL ORDER BY n DESC, reason, predicate NULLS FIRST LIMIT 25")
 def d25_rejects_by_predicate(spark, d):
-    return Q.rejects_by(_validated(spark, d), "predicate")
+    return Q.rejects_by(_validated(spark, d), "predicate").orderBy(F.desc("n"), "reason", "predicate").limit(25)
 
 
 @query(f"WITH {_X} SELECT project_slug, predicate, count(*) AS n FROM x GROUP BY ALL")
@@ -630,10 +655,10 @@ def e1_per_type_cap(spark, d):
     return R.top_per_type(R.layer_scores(g.entities.where(C.layer() == "data"), g.assertions)).select(P, "id", F.col("score").cast("bigint").alias("score"))
 
 
-@query(f"WITH {_E}, {_A}, {_DEG} SELECT project_slug, id FROM e WHERE {_layer()} = 'repo' UNION ALL SELECT project_slug, id FROM (SELECT e.*, row_number() OVER (PARTITION BY {_DT} ORDER BY coalesce(d.weighted, 0) DESC, name NULLS FIRST, e.project_slug, e.id) AS r FROM e LEFT JOIN d USING (project_slug, id) WHERE {_layer()} = 'data') WHERE r <= 250")
+@query()  # its ends of key relationships come from a greedy choice, see e7
 def k21_page_worthy(spark, d):
     g = _graph(spark, d)
-    return R.page_worthy(g.entities, g.assertions)
+    return R.page_worthy(g.entities, g.assertions, _edges(spark, d))
 
 
 @query("WITH v AS (SELECT o_custkey, count(DISTINCT o_orderkey) AS value FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1) SELECT o_custkey, value FROM v WHERE value = (SELECT max(value) FROM v)")
@@ -669,12 +694,11 @@ def g4_cited_minus_declared(spark, d):
 
 
 # --- K: graph operators --------------------------------------------------------------------
-_Q = [((k * 37) % 19 - 9) / 9 for k in range(64)]
-
-
-@query(f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), {_Q}::DOUBLE[]), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 50")
+@query("""SELECT query_id, vec_id, score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM (
+SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0) WHERE score IS NOT NULL) WHERE r <= 10""")
 def k4_vector_topk(spark, d):
-    return V.vector_top_k(table(spark, d, "embeddings"), "vec_id", _Q, 50)
+    rows = table(spark, d, "embeddings")
+    return V.vector_top_k_each(rows, rows.where("vec_id % 20 = 0"), "vec_id", 10)
 
 
 @query(f"WITH {_E}, {_RES} SELECT project_slug, resolved_id AS id, CAST(count(*) AS INTEGER) AS mentions FROM r GROUP BY ALL")
@@ -699,8 +723,22 @@ def k9_segments(spark, d):
 
 @query()
 def k10_chunks(spark, d):
-    e = _graph(spark, d).entities
-    return K.keyed_chunks([K.dataset_chunks(e), K.architecture_chunks(e)])
+    """Chunks of all five kinds."""
+    g = _graph(spark, d)
+    e = g.entities
+    return K.keyed_chunks([K.dataset_chunks(e), K.architecture_chunks(e), K.entity_chunks(e, g.assertions, g.spans), K.document_rows(g.sources, g.spans, g.chunks, e)])
+
+
+@query(f"""WITH {_E}, {_A}, {_DEG}, w AS (SELECT e.*, coalesce(d.degree, 0) AS degree, row_number() OVER (PARTITION BY project_slug ORDER BY coalesce(d.degree, 0) DESC, id) AS r FROM e LEFT JOIN d USING (project_slug, id) WHERE {_layer()} = 'repo' AND type IN ({_list(HOTSPOT_TYPES)}) AND NOT {_test()}),
+p AS (SELECT *, row_number() OVER (PARTITION BY project_slug, name ORDER BY r DESC) AS n FROM w WHERE r <= 200),
+t AS (SELECT *, row_number() OVER (PARTITION BY project_slug, entity_id ORDER BY id) AS k FROM (SELECT project_slug, id, subject_id, object_id, predicate, unnest(list_distinct([subject_id, object_id])) AS entity_id FROM a)),
+l AS (SELECT t.project_slug, t.entity_id, list_sort(list(DISTINCT trim(s.name || ' ' || t.predicate || ' ' || o.name, ' '))) AS edges FROM t JOIN e s ON s.project_slug = t.project_slug AND s.id = t.subject_id JOIN e o ON o.project_slug = t.project_slug AND o.id = t.object_id WHERE k <= 20 GROUP BY ALL)
+SELECT p.project_slug, p.name AS title, p.degree AS records, coalesce(l.edges, []) AS edges FROM p LEFT JOIN l ON l.project_slug = p.project_slug AND l.entity_id = p.id WHERE n = 1 AND p.name IS NOT NULL""")
+def k10_entity_chunks(spark, d):
+    g = _graph(spark, d)
+    c = K.entity_chunks(g.entities, g.assertions, g.spans.limit(0)).where("title is not null")
+    block = F.regexp_extract("text", r"(?s)\nRelationships:\n- (.*?)(?:\nEvidence:\n.*)?$", 1)
+    return c.select(P, "title", "records", F.when(block == "", F.array().cast("array<string>")).otherwise(F.array_sort(F.transform(F.split(block, "\n- "), lambda x: F.trim(x)))).alias("edges"))
 
 
 @query()
@@ -715,14 +753,20 @@ def k15_reverse_impact(spark, d):
     return E.reverse_impact(_edges(spark, d), start)
 
 
-@query(f"WITH {_X}, {_DEG} SELECT x.project_slug, x.id, round(CAST({_case('predicate', PREDICATE_WEIGHTS, DEFAULT_PREDICATE_WEIGHT)} + {_case('s_type', TYPE_WEIGHTS, 2)} + {_case('o_type', TYPE_WEIGHTS, 2)} + CASE WHEN coalesce(evidence_text, '') <> '' OR coalesce(evidence_span_id, '') <> '' THEN 1 ELSE 0 END + 2 * coalesce(confidence, 0.0) + 0.4 * least(8, coalesce(ds.degree, 0) + coalesce(dob.degree, 0)) - CASE WHEN predicate = 'contains' AND s_type = 'File' THEN 6 ELSE 0 END AS DOUBLE), 6) AS score FROM x LEFT JOIN d ds ON ds.project_slug = x.project_slug AND ds.id = x.subject_id LEFT JOIN d dob ON dob.project_slug = x.project_slug AND dob.id = x.object_id")
+_RS = f"""{_X}, dx AS (SELECT project_slug, id, count(*) AS degree FROM (SELECT project_slug, subject_id AS id FROM x UNION ALL SELECT project_slug, object_id FROM x) GROUP BY ALL),
+rs AS (SELECT x.*, round(CAST({_case('predicate', PREDICATE_WEIGHTS, DEFAULT_PREDICATE_WEIGHT)} + {_case('s_type', TYPE_WEIGHTS, 2)} + {_case('o_type', TYPE_WEIGHTS, 2)} + CASE WHEN coalesce(evidence_text, '') <> '' OR coalesce(evidence_span_id, '') <> '' THEN 1 ELSE 0 END
+  + 2 * coalesce(confidence, 0.0) + 0.4 * least(8, ds.degree + dob.degree) - CASE WHEN predicate = 'contains' AND s_type = 'File' THEN 6 ELSE 0 END AS DOUBLE), 6) AS score
+  FROM x JOIN dx ds ON ds.project_slug = x.project_slug AND ds.id = x.subject_id JOIN dx dob ON dob.project_slug = x.project_slug AND dob.id = x.object_id)"""
+
+
+@query(f"WITH {_RS} SELECT project_slug, id, score FROM rs")
 def k20_relationship_scores(spark, d):
-    return R.relationship_scores(_edges(spark, d), _graph(spark, d).assertions).select(P, "id", "score")
+    return R.relationship_scores(_edges(spark, d)).select(P, "id", "score")
 
 
 @query()
 def e7_key_relationships(spark, d):
-    return R.key_relationships(_edges(spark, d), _graph(spark, d).assertions)
+    return R.key_relationships(_edges(spark, d))
 
 
 @query(f"WITH {_E}, {_A} SELECT kind, id, violation FROM (SELECT 'entity' AS kind, id, unnest(list_filter([CASE WHEN coalesce(name, '') = '' THEN 'no name' END, CASE WHEN coalesce(type NOT IN ({_list(ENTITY_TYPES)}), true) THEN 'no such type' END], lambda y: y IS NOT NULL)) AS violation FROM e UNION ALL SELECT 'assertion', id, unnest(list_filter([CASE WHEN coalesce(predicate, '') = '' THEN 'no predicate' END, CASE WHEN NOT coalesce(confidence BETWEEN 0 AND 1, false) THEN 'confidence outside 0..1' END, CASE WHEN coalesce(status NOT IN ({_list(STATUSES)}), true) THEN 'no such status' END, CASE WHEN coalesce(evidence_span_id, '') = '' THEN 'no evidence' END], lambda y: y IS NOT NULL)) FROM a)")

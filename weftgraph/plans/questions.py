@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Callable, Sequence
@@ -11,7 +12,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftgraph.operators.edges import path_rank, signatures
+from weftgraph.operators.edges import path_count, path_rank, signatures
 from weftgraph.operators.retrieval import exact_lookup
 
 # Words that steer the plan.
@@ -97,30 +98,44 @@ class Generator(Protocol):
     def answer(self, question: str, contexts: Sequence[dict]) -> str: ...
 
 
+def metric_type(signature: dict, question: str) -> str:
+    """Of the types between, the one the question's words name most; the first if none does."""
+    after = re.search(r"\b(?:most|least|more|fewest|highest|lowest)\s+(\w+)", question, re.IGNORECASE)
+    asked, metric = token_set(question), token_set(after[1]) if after else set()
+    middle = signature["intermediate_types"]
+    return max(middle, key=lambda t: (len(metric & token_set(t or "")), len(asked & token_set(t or "")), -middle.index(t)))
+
+
 def analytics(question: str, entities: DataFrame, edges: DataFrame, limit: int = 100) -> Answer | None:
-    """Rank or count answered by the best kind of path from the entity the question names."""
+    """Rank or count answered by the best kind of path, of up to three hops, from the entity the question names.
+
+    Paths are undirected.  A rank counts the distinct nodes of the metric type between a
+    candidate and the named entity; a count is that of the distinct candidates themselves.
+    """
     op = operation(question)
     names = name_candidates(question)
     if op is None or not names:
         return None
-    start = exact_lookup(entities, names, 1)
-    found = start.orderBy("project_slug", "id").limit(8).collect()  # eight entities at most
+    found = exact_lookup(entities, names, 1).orderBy("project_slug", "id").limit(8).collect()  # eight entities at most
     if not found:
         return None
-    at = F.col("object_id").isin([r["id"] for r in found])
-    rows = [r.asDict() for r in signatures(edges, start.select("project_slug", F.col("id").alias("a"))).collect()]  # 200 at most
+    start = edges.sparkSession.createDataFrame([(r["project_slug"], r["id"]) for r in found], "project_slug string, a string")
+    rows = [r.asDict() for r in signatures(edges, start, hops=3).collect()]  # 200 at most
     usable = [(score_signature(s, question, op), str(s), s) for s in rows]
-    usable = [x for x in usable if x[0] > -math.inf and x[2]["hops"] == 2]
+    usable = [x for x in usable if x[0] > -math.inf]
     if not usable:
         return None
     best = max(usable)[2]
-    ranked = path_rank(edges, best["predicates"], at, best["group_type"], limit, lowest=bool(LOWEST_WORDS.search(question)))
+    if op == "count":
+        counted = [r.asDict() for r in path_count(edges, best["predicates"], best["group_type"], start).orderBy("project_slug", "filter").collect()]  # eight at most
+        return Answer(op, f"There are {sum(r['value'] for r in counted)}.", counted, [r["filter"] for r in counted]) if counted else None
+    ranked = path_rank(edges, best["predicates"], best["group_type"], metric_type(best, question), start, limit, lowest=bool(LOWEST_WORDS.search(question)))
     out = [r.asDict() for r in ranked.collect()]  # ``limit`` at most
     if not out:
         return None
-    leaders = [r["name"] for r in out if r["value"] == out[0]["value"]]
-    text = f"{leaders[0]} ranks first with {out[0]['value']}." if len(leaders) == 1 else f"{', '.join(leaders[:10])} tie with {out[0]['value']}."
-    return Answer(op, text if op == "rank" else f"There are {len(out)}.", out, [r["candidate"] for r in out[:12]])
+    leaders = list(dict.fromkeys(r["name"] for r in out if r["value"] == out[0]["value"]))
+    text = f"{leaders[0]} ranks first with {out[0]['value']}." if len(leaders) == 1 else f"{', '.join(map(str, leaders[:10]))} tie with {out[0]['value']}."
+    return Answer(op, text, out, [r["candidate"] for r in out[:12]])
 
 
 def answer(question: str, entities: DataFrame, edges: DataFrame, vector_search: Callable[[str], list[dict]], generator: Generator) -> Answer:
@@ -156,9 +171,13 @@ def evaluate(cases: Sequence[dict], ask: Callable[[str], Answer]) -> dict[str, f
     return {"pass_rate": passed / len(cases) if cases else 1.0, "refusal_rate": refused / unanswerable if unanswerable else 1.0}
 
 
-# What a generated query may use.
-FUNCTIONS = {"avg", "coalesce", "collect_list", "collect_set", "count", "max", "min", "size", "sum", "lower", "double", "int", "bigint", "cast", "array_sort", "slice"}
-PLAN_NODES = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Join", "SubqueryAlias", "View", "Distinct", "LogicalRelation", "LogicalRDD", "LocalRelation", "Range", "Window", "Union", "OneRowRelation", "Offset"}
+# What a generated query may use; names of the parsed plan's nodes and expressions.
+FUNCTIONS = {"avg", "coalesce", "collect_list", "collect_set", "count", "max", "min", "size", "sum", "lower", "array_sort", "slice"}
+PLAN_NODES = {"Project", "Filter", "Aggregate", "Sort", "GlobalLimit", "LocalLimit", "Join", "SubqueryAlias", "Distinct", "UnresolvedRelation", "UnresolvedHaving", "Offset"}
+EXPRESSIONS = {
+    "UnresolvedAttribute", "UnresolvedAlias", "UnresolvedStar", "UnresolvedFunction", "Alias", "Literal", "SortOrder", "And", "Or", "Not", "EqualTo", "EqualNullSafe", "LessThan", "LessThanOrEqual", "GreaterThan", "GreaterThanOrEqual",
+    "In", "IsNull", "IsNotNull", "Like", "Add", "Subtract", "Multiply", "Divide", "UnaryMinus", "CaseWhen", "Cast", "Between", "UnresolvedOrdinal", "UnresolvedExtractValue", "Concat",
+}
 MAX_LENGTH, MAX_ROWS, MAX_ESTIMATE = 12_000, 500, 100_000
 
 
@@ -166,35 +185,62 @@ class Refused(ValueError):
     """A generated query that isn't allowed."""
 
 
+def _strings(value) -> list[str]:
+    """``[a, b]`` as the plan writes a sequence of names."""
+    return [str(x) for x in value] if isinstance(value, list) else [x.strip() for x in str(value).strip("[]").split(",")]
+
+
+def _parts(value):
+    """Every node and expression of a plan given as JSON, at any depth."""
+    if isinstance(value, dict):
+        if "class" in value:
+            yield value
+        for x in value.values():
+            yield from _parts(x)
+    elif isinstance(value, list):
+        for x in value:
+            yield from _parts(x)
+
+
 def guarded_sql(spark: SparkSession, query: str, views: Sequence[str], limit: int = MAX_ROWS, max_estimate: int | None = None) -> DataFrame:
-    """Runs a generated SELECT over the named views, after checks of its text and plan.
+    """Runs a generated SELECT over the named views, after checks of its parsed plan.
 
-    One read-only statement without comments or backquotes, over these views only, with
-    allowed functions and plan nodes; a limit is put on it, and the optimizer's row estimate
-    is bounded where it has one.
+    Every node, expression, function and relation of the plan, wherever it stands (a comma, a
+    join, a subquery), has to be on its list: so no other table, table function, subquery or
+    command passes, however it is written.  Comments and backquotes are refused beforehand, a
+    limit is put on the query, and the optimizer's row estimate is bounded where it has one.
     """
     text = query.strip()
     if not text or len(text) > MAX_LENGTH:
         raise Refused("empty or too long")
     if any(x in text for x in (";", "//", "/*", "`", "--")):
         raise Refused("separators, comments and backquotes are not allowed")
-    if not re.match(r"(?is)^(select|with)\b", text):
-        raise Refused("only SELECT is allowed")
-    bare = re.sub(r"'(?:[^']|'')*'", "''", text)
-    if m := re.search(r"(?i)\b(insert|update|delete|merge|drop|create|alter|truncate|set|use|cache|load|grant|revoke|call|union|reflect|java_method|transform)\b", bare):
-        raise Refused(f"{m[1]} is not allowed")
-    for f in re.findall(r"(?i)\b([a-z_][a-z0-9_]*)\s*\(", bare):
-        if f.lower() not in FUNCTIONS | {"in", "and", "or", "not", "as", "from", "where", "on", "over", "by", "exists", "with", "select", "values", "distinct", "when", "then", "else", "having", *[v.lower() for v in views]}:
+    try:
+        parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+        parts = list(_parts(json.loads(parsed.toJSON())))
+    except Exception as e:  # noqa: BLE001
+        raise Refused("it can't be parsed") from e
+    known, seen = {v.lower() for v in views}, set()
+    for part in parts:
+        name = part["class"].rsplit(".", 1)[-1].rstrip("$")
+        if ".trees." in part["class"] or "num-children" not in part:
+            continue
+        if name not in PLAN_NODES | EXPRESSIONS:
+            raise Refused(f"{name} is not allowed")
+        if name == "UnresolvedRelation":
+            relation = ".".join(_strings(part["multipartIdentifier"])).lower()
+            if relation not in known:
+                raise Refused(f"unknown relation {relation}")
+            seen.add(relation)
+        if name == "UnresolvedFunction" and (f := ".".join(_strings(part["nameParts"])).lower()) not in FUNCTIONS:
             raise Refused(f"function {f} is not allowed")
-    names = {x.lower() for x in re.findall(r"(?i)\b(?:from|join)\s+([a-z_][\w.]*)", bare)}
-    ctes = {x.lower() for x in re.findall(r"(?i)(?:\bwith|,)\s+([a-z_]\w*)\s+as\s*\(", bare)}
-    if unknown := names - {v.lower() for v in views} - ctes:
-        raise Refused(f"unknown relation {', '.join(sorted(unknown))}")
-    if not names & {v.lower() for v in views}:
+    if not seen:
         raise Refused("reads no known relation")
     df = spark.sql(text)
-    plan = df._jdf.queryExecution().optimizedPlan()
-    estimate = plan.stats().rowCount()
+    execution = df._jdf.queryExecution()
+    if not execution.analyzed().subqueriesAll().isEmpty():
+        raise Refused("subqueries are not allowed")
+    estimate = execution.optimizedPlan().stats().rowCount()
     if estimate.isDefined() and int(str(estimate.get())) > (max_estimate or MAX_ESTIMATE):
         raise Refused("too many rows expected")
     return df.limit(max(1, min(limit, MAX_ROWS)))

@@ -47,7 +47,7 @@ class Workspace:
     """Tables written to the shared folder: they cut lineage and outlive executors."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root, self.count = spark, shared_dir(spark), 0
+        self.spark, self.root, self.count, self.held = spark, shared_dir(spark), 0, set()
 
     def cut(self, df: DataFrame, partitions: int | None = None) -> DataFrame:
         self.count += 1
@@ -55,13 +55,22 @@ class Workspace:
         (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._weft_path = path
+        self.held.add(path)
         return out
 
     def drop(self, df: DataFrame) -> None:
         """Delete a cut table that no later step reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._weft_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._delete(df._weft_path)
+
+    def keep_only(self, *tables: DataFrame) -> None:
+        """Delete all cut tables but these, which a result still reads."""
+        for path in self.held - {t._weft_path for t in tables}:
+            self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+        self.held.discard(path)
 
 
 def size_bound(df: DataFrame, limit: int) -> bool:

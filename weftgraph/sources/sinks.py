@@ -14,18 +14,25 @@ def _fs(spark: SparkSession, path: str):
 
 
 def replace_table(df: DataFrame, path: str) -> None:
-    """Writes beside the table, partitioned by project, then puts it in its place.
+    """Writes beside the table, partitioned by project, moves the old one aside, then puts it in its place.
 
-    A failed write leaves the table as it was; the new one may read the old.
+    A failed write leaves the table as it was, a failed move puts it back; the new one may read the old.
     """
     spark = df.sparkSession
     fresh = f"{path}__new"
     writer = df.write.mode("overwrite")
     (writer.partitionBy("project_slug") if "project_slug" in df.columns else writer).parquet(fresh)
     fs, old = _fs(spark, path)
-    fs.delete(old, True)
+    aside = spark._jvm.org.apache.hadoop.fs.Path(f"{path}__old")
+    fs.delete(aside, True)
+    had = fs.exists(old)
+    if had and not fs.rename(old, aside):
+        raise OSError(f"{path} could not be moved aside")
     if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(fresh), old):
+        if had:
+            fs.rename(aside, old)
         raise OSError(f"{fresh} could not be moved to {path}")
+    fs.delete(aside, True)
 
 
 def snapshot(df: DataFrame, root: str) -> None:
