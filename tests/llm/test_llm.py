@@ -85,6 +85,19 @@ def test_pieces_end_at_boundaries(spark):
     assert all(x.endswith(" ") for x in words) and all(x.endswith("\n\n") for x in paragraphs) and all(x.endswith("\r\n") for x in lines)
 
 
+def test_short_parts_and_sentences_without_blanks(spark):
+    texts = ["a b c d e f g " + "x" * 60, "あい。" + "う" * 40, "w " * 50]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(pieces(F.col("t"), 20, 6).alias("p")).collect()
+    for t, r in zip(texts, got, strict=True):
+        whole = r["p"][0]
+        for a, b in zip(r["p"], r["p"][1:], strict=False):
+            tail = a[-6:]
+            assert b.startswith(tail) and len(b) <= 20
+            whole += b[len(tail) :]
+        assert whole == t
+    assert got[1]["p"][0] == "あい。"
+
+
 def test_cut_items(spark):
     s = "project_slug string, id string, text string, ordinal int, t string, p string, k0 string"
     data = [("p", "1", "a " * 1500, 7, "", "", ""), ("p", "1", "a " * 1500, 7, "", "", ""), ("p", "2", "short", 7, "", "", ""), ("p", "3", None, 7, "", "", ""), (None, None, "b" * 2001, 7, "", "", "")]

@@ -3,8 +3,8 @@
 Method: one regular expression with bounded quantifiers cuts the text.  Its alternatives
 are ordered by the strength of the boundary (paragraph, line, sentence, word, any
 character); each consumes as much as the limit allows.  The overlap is looked back from
-the cut pieces with SQL array functions.  All of it runs in the JVM, row by row, without
-an exchange.
+the cut pieces with SQL array functions, in time linear in the text.  All of it runs in the
+JVM, row by row; only ``cut_items`` exchanges the oversized texts, once, to drop repeated rows.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ def piece_pattern(limit: int, overlap: int) -> str:
     def one(most: int) -> str:
         least = max(1, most // 2)
         strong = [f".{{{least},{most}}}{end}" for end in (PARAGRAPH, LINE, SENTENCE, WORD)]
-        return "|".join([f".{{1,{most}}}\\z", *strong, f".{{1,{least}}}{WORD}", f".{{1,{most}}}"])
+        return "|".join([f".{{1,{most}}}\\z", *strong, f".{{1,{least}}}(?:{WORD}|{SENTENCE})", f".{{1,{most}}}"])
 
     return f"(?s)\\A(?:{one(limit)})|(?:{one(limit - overlap)})"
 
@@ -38,22 +38,23 @@ def pieces(text: Column, limit: int = 2000, overlap: int = 200) -> Column:
     Each has at most ``limit`` Unicode code points, and each after the first starts with
     the last ``overlap`` characters (or all, if it has fewer) of the piece before it.
     Without those, the pieces joined are the text.  A boundary in the second half of the
-    room is preferred by strength; else a word end in the first half counts; else the
+    room is preferred by strength; else a word or sentence end in the first half counts; else the
     piece is full.
     """
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be less than limit")
     cut = F.regexp_extract_all(text, F.lit(piece_pattern(limit, overlap)), F.lit(0))
-    fold = F.aggregate(
-        F.coalesce(cut, F.array().cast("array<string>")),
-        F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("tail")),
-        lambda s, c: F.struct(
-            F.concat(s["out"], F.array(F.concat(s["tail"], c))).alias("out"),
-            F.right(F.concat(s["tail"], c), F.lit(overlap)).alias("tail") if overlap else F.lit("").alias("tail"),
-        ),
-        lambda s: s["out"],
-    )
-    return F.when(F.length(text) <= limit, F.when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))).otherwise(fold)
+    cut = F.coalesce(cut, F.array().cast("array<string>"))
+
+    def join(parts: Column) -> Column:
+        # what stands before a part; as a rule one part is enough for the overlap, else as many as it has characters
+        several = lambda i: F.array_join(F.slice(parts, F.greatest(F.lit(1), i - overlap + 1), F.least(i, F.lit(overlap))), "")
+        before = lambda i: F.when(F.length(F.get(parts, i - 1)) >= overlap, F.get(parts, i - 1)).otherwise(several(i))
+        return F.transform(parts, lambda part, i: F.when(i == 0, part).otherwise(F.concat(F.right(before(i), F.lit(overlap)), part)))
+
+    # in an array of its own the cut is a variable, made once and not for each part
+    joined = F.get(F.transform(F.array(cut), join), F.lit(0)) if overlap else cut
+    return F.when(F.length(text) <= limit, F.when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))).otherwise(joined)
 
 
 def cut_items(items: DataFrame, keys: Sequence[str], text: str = "text", limit: int = 2000, overlap: int = 200) -> DataFrame:

@@ -54,11 +54,13 @@ def components(edges: DataFrame, space: Workspace, max_rounds: int = 200) -> Dat
         edges = fresh
         maps.append(mapping)
     if not maps:
+        space.keep_only(edges)
         return edges.select(F.col("a").alias("v"), F.col("b").alias("root"))
     label = maps[-1].select("v", F.col("r").alias("root"))
     for mapping in reversed(maps[:-1]):
         deeper = label.select(F.col("v").alias("r"), "root")
         label = space.cut(mapping.join(deeper, "r", "left").select("v", F.coalesce("root", "r").alias("root")))
+    space.keep_only(label if len(maps) > 1 else maps[0])
     return label
 
 

@@ -222,9 +222,6 @@ def find_leaks(
     return result
 
 
-_CACHE: dict[int, Items] = {}
-
-
 def _against(own: DataFrame, shared, schema: str, least_words: int, altered: float, least_seeds: int) -> DataFrame:
     names = [x.split("`")[1] for x in schema.split(", ")[:2]]
 
