@@ -178,7 +178,11 @@ def f7_indexed_entities(spark, d):
     return ranked.orderBy(F.desc("degree"), "id", P).limit(200).select(P, "id")
 
 
-@query(f"""WITH {G._NB}, t AS (SELECT arg_min(entity_id, struct_pack(a := -n, b := entity_id)) AS id, project_slug FROM (SELECT project_slug, entity_id, count(*) AS n FROM nb GROUP BY ALL) GROUP BY project_slug)
+_BOTH = f"""{G._X}, nb AS (SELECT project_slug, id AS edge_id, confidence, subject_id AS entity_id, 'outgoing' AS direction FROM x
+UNION ALL SELECT project_slug, id, confidence, object_id, 'incoming' FROM x)"""
+
+
+@query(f"""WITH {_BOTH}, t AS (SELECT arg_min(entity_id, struct_pack(a := -n, b := entity_id)) AS id, project_slug FROM (SELECT project_slug, entity_id, count(*) AS n FROM nb GROUP BY ALL) GROUP BY project_slug)
 SELECT project_slug, entity_id, direction, edge_id FROM (SELECT nb.*, row_number() OVER (PARTITION BY nb.project_slug, nb.entity_id, direction ORDER BY confidence DESC NULLS LAST, edge_id) AS r FROM nb JOIN t ON t.project_slug = nb.project_slug AND t.id = nb.entity_id) WHERE r <= 40""")
 def k18_node_detail(spark, d):
     return D.node_detail(_edges(spark, d))
