@@ -277,6 +277,25 @@ def test_two_typos_without_a_bridge(spark):
     assert set(matched(spark, data)) == {("a", "b")}
 
 
+def test_matching_sends_no_table_through_the_driver(spark):
+    """A broadcast gathers a side on the driver and takes 64 MB of its memory at least, whatever the table."""
+    done = spark._jsparkSession.sharedState().statusStore()
+    before = done.executionsCount()
+    names = ["Blorgan Router", "blorgan.router", "Blrogan Router", "Blorgan logbook", "Takemi Vault", "TakemiVault"]
+    data = [entity(f"{s[0]}{k}", n, s, meta='{"port": 4711}') for s in ("graphify", "document_ingest", "local_fallback") for k, n in enumerate(names)]
+    assert matched(spark, data)
+    after = done.executionsCount()
+    plans = [done.executionsList(k, 1).head().physicalPlanDescription() for k in range(before, after)]
+    assert len(plans) > 8 and any("SortMergeJoin" in p for p in plans) and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_tidy_workspace_deletes_what_it_shuffled(spark):
+    shuffles = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    before = set(shuffles.keySet().mkString(",").split(","))
+    cut = Workspace(spark, tidy=True).cut(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    assert set(shuffles.keySet().mkString(",").split(",")) <= before | {""} and cut.count() == 7
+
+
 def code(spark, *files):
     s = spark.createDataFrame([("p", f"S{k}", path, "repo_file") for k, (path, _) in enumerate(files)] + [("p", None, "x/vendor/y.py", "repo_file"), ("p", "doc", "a/vendor/b.md", "document")], "project_slug string, id string, path string, source_type string")
     sp = spark.createDataFrame([("p", f"{k}-{n}", f" s{k} ", n, t) for k, (_, texts) in enumerate(files) for n, t in enumerate(texts)] * 2 + [("p", None, None, 0, "x"), ("p", "z", "s0", 0, None)], "project_slug string, id string, source_id string, chars int, text string")
